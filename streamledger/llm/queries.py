@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from streamledger.llm.decontaminate import overlaps
+from streamledger.llm.knn import scaled, top_k
+from streamledger.llm.mixing import assign
 from streamledger.llm.near_dedup import near_duplicates
 from streamledger.llm.toxicity import toxicity
 
@@ -23,6 +25,16 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("digest")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shares = assign(_read(spark, sf_dir, "documents"))
+    return shares.select("doc_id", "size", "source_size", "target", "taken", "passes", "position")
+
+
+def op8_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = scaled(_read(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -30,7 +42,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_mixing": op7_mixing,
+    "op8_voronoi_knn": op8_voronoi_knn,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_voronoi_knn": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        WHERE rank <= 10""",
+}
