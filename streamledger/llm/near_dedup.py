@@ -41,8 +41,8 @@ WIDTH = 5
 CHUNKS, CHUNK = 12, 5
 SYMBOLS, BITS = CHUNKS * CHUNK, 16
 PERCENT = 75
-#: Shingles in a block of a cluster; a group of rows holds two blocks, 16 MB each at most unless one text is larger.
-BLOCK_WEIGHT = 2_000_000
+#: Shingles in a block of a cluster; a group of rows holds two blocks, of about 4 MB each unless one text is larger.
+BLOCK_WEIGHT = 500_000
 _ODD = (mix(np.arange(1000, 1000 + SYMBOLS, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
@@ -215,7 +215,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     members = clusters.join(classes.select("node", "d1", "d2", "n", "first_id"), "node")
     weight = members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_WEIGHT).cast("int").alias("blocks"))
     members = stage(members.join(weight, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "members")
-    wanted = members.select("first_id").distinct()
+    # candidates grow with the corpus, so they are never broadcast, and the plan is the same at every size
+    wanted = members.select("first_id").distinct().hint("merge")
     sets = (
         source.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
         .select("text")
