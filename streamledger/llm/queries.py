@@ -11,6 +11,7 @@ from streamledger.llm.knn import scaled, top_k
 from streamledger.llm.mixing import assign
 from streamledger.llm.near_dedup import near_duplicates
 from streamledger.llm.toxicity import toxicity
+from streamledger.llm.warc import round_trip
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +26,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("digest")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = round_trip(_read(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "error")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     shares = assign(_read(spark, sf_dir, "documents"))
     return shares.select("doc_id", "size", "source_size", "target", "taken", "passes", "position")
@@ -41,6 +47,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
+    "op5_warc": op5_warc,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_mixing": op7_mixing,
     "op8_voronoi_knn": op8_voronoi_knn,
