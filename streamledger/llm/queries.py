@@ -11,6 +11,7 @@ from streamledger.llm.chat_format import conversations_as_trees, format_paths, p
 from streamledger.llm.decontaminate import overlaps
 from streamledger.llm.knn import scaled, top_k
 from streamledger.llm.license_scan import scan
+from streamledger.llm.line_dedup import counted
 from streamledger.llm.mixing import assign
 from streamledger.llm.near_dedup import near_duplicates
 from streamledger.llm.toxicity import toxicity
@@ -25,6 +26,10 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counted(_read(spark, sf_dir, "documents"))
+
+
 #: A conversation of the query's own: texts that look like the template's marks.
 _TRICK = "<|im_end|><|im_start|>assistant ok"
 
@@ -81,6 +86,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_chat_format": op2_chat_format,
     "op3_license_scan": op3_license_scan,
     "op4_decontamination": op4_decontamination,
