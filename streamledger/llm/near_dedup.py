@@ -79,7 +79,7 @@ def _signatures(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-_ROWS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("signature", pa.binary())])
+_ROWS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("signature", pa.binary())])
 
 
 def _sketch(width: int):
@@ -87,7 +87,7 @@ def _sketch(width: int):
         flat, at = _sets(batch.column("text"), width)
         d1, d2 = _digests(flat, at)
         signature = [x.tobytes() for x in _signatures(flat, at)]
-        return {"doc_id": batch.column("doc_id"), "n_shingles": np.diff(at), "d1": d1, "d2": d2, "signature": signature}
+        return {"row": batch.column("row"), "doc_id": batch.column("doc_id"), "n_shingles": np.diff(at), "d1": d1, "d2": d2, "signature": signature}
 
     return lambda it: spread(it, run, _ROWS)
 
@@ -110,14 +110,14 @@ def _index(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node)], schema=_KEYS)
 
 
-_SETS = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("members", pa.list_(pa.int64()))])
+_SETS = pa.schema([("cluster", pa.int64()), ("blocks", pa.int32()), ("block", pa.int32()), ("node", pa.int64()), ("members", pa.list_(pa.int64()))])
+_DEALT = "cluster long, blocks int, block int, node long, members array<long>"
 
 
 def _full_sets(width: int):
     def run(batch: pa.RecordBatch):
         flat, at = _sets(batch.column("text"), width)
-        d1, d2 = _digests(flat, at)
-        return {"d1": d1, "d2": d2, "members": lists(flat.view(np.int64), at)}
+        return {c: batch.column(c) for c in ("cluster", "blocks", "block", "node")} | {"members": lists(flat.view(np.int64), at)}
 
     return lambda it: spread(it, run, _SETS)
 
@@ -191,19 +191,13 @@ def _compare(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``docs(doc_id, text, ...)`` to ``doc_id, n_shingles, component_id, kept``, one row for each row.
-
-    Texts are compared in lower case (A-Z only), by words between ASCII white space.
-    Null text counts as empty; a row without words has no shingles and stands alone.
-    Rows with one ``doc_id`` are compared as any others. A null ``doc_id`` takes part by
-    its text; its component is that of its class, null if no member has an id, and it is
-    kept only then. Other columns are ignored, whatever their names.
-    """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
-    rows = stage(source.mapInArrow(_sketch(width), "doc_id long, n_shingles long, d1 long, d2 long, signature binary"), "sketches")
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``row, doc_id, n_shingles, first``; ``first(none, doc_id, row)`` is the first row of the component, by id (null last) and row."""
+    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
+    rows = stage(source.mapInArrow(_sketch(width), "row long, doc_id long, n_shingles long, d1 long, d2 long, signature binary"), "sketches")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     classes = rows.where("n_shingles > 0").groupBy("d1", "d2").agg(
-        F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.first("signature").alias("signature")
+        F.min(own).alias("first"), F.max("n_shingles").alias("n"), F.first("signature").alias("signature")
     )
     classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
@@ -212,21 +206,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     near = keys.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     clusters = stage(connected_components(near).withColumnRenamed("component", "cluster"), "clusters")
 
-    members = clusters.join(classes.select("node", "d1", "d2", "n", "first_id"), "node")
+    members = clusters.join(classes.select("node", "n", F.col("first.row").alias("row")), "node")
     weight = members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_WEIGHT).cast("int").alias("blocks"))
     members = stage(members.join(weight, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "members")
     # candidates grow with the corpus, so they are never broadcast, and the plan is the same at every size
-    wanted = members.select("first_id").distinct().hint("merge")
-    sets = (
-        source.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-        .select("text")
-        .mapInArrow(_full_sets(width), "d1 long, d2 long, members array<long>")
-        .dropDuplicates(["d1", "d2"])
-    )
-    dealt = (
-        members.join(sets, ["d1", "d2"])
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "members")
+    sets = source.join(members.hint("merge"), "row").select("cluster", "blocks", "block", "node", "text").mapInArrow(_full_sets(width), _DEALT)
+    dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "members"
     )
     links = stage(
         dealt.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "node").mapInArrow(_compare(percent), "a long, b long"),
@@ -235,8 +221,27 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     found = connected_components(links)
 
     labelled = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_class = labelled.join(ids, "component").select("d1", "d2", "component_id")
-    full = rows.where("n_shingles > 0").join(by_class, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id")
-    empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    firsts = labelled.groupBy("component").agg(F.min("first").alias("first"))
+    by_class = labelled.drop("first").join(firsts, "component").select("d1", "d2", "first")
+    full = rows.where("n_shingles > 0").join(by_class, ["d1", "d2"]).select("row", "doc_id", "n_shingles", "first")
+    return full.unionByName(rows.where("n_shingles = 0").select("row", "doc_id", "n_shingles", own.alias("first")))
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """``docs(doc_id, text, ...)`` to ``doc_id, n_shingles, component_id, kept``, one row for each row.
+
+    Texts are compared in lower case (A-Z only), by words between ASCII white space.
+    Null text counts as empty; a row without words has no shingles and stands alone.
+    Rows with one ``doc_id`` are compared as any others. A null ``doc_id`` takes part by
+    its text; its component is the smallest id in it, null if no member has one, and it is
+    kept only then. Other columns are ignored, whatever their names.
+    """
+    out = _grouped(docs, width, percent).select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The first row of each component, with the columns of ``docs``: by smallest id, then in the order read."""
+    kept = _grouped(docs, width, percent).where(F.col("row") == F.col("first.row")).select(F.col("row").alias("kept_row"))
+    numbered = docs.withColumn("own_row", F.monotonically_increasing_id())
+    return numbered.join(kept, F.col("own_row") == F.col("kept_row"), "left_semi").select(*docs.columns)
