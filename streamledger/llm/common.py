@@ -9,7 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
@@ -40,7 +40,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_or_empty(column: str):
+def pinned(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once for each row.
+
+    A filter or projection over a plain column is rewritten to hold the column's whole
+    expression; over the output of a generator of one row it can't be.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
+def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 

@@ -14,6 +14,7 @@ from streamledger.llm.license_scan import scan
 from streamledger.llm.line_dedup import counted
 from streamledger.llm.mixing import assign
 from streamledger.llm.near_dedup import near_duplicates
+from streamledger.llm import secret_scan
 from streamledger.llm.toxicity import toxicity
 from streamledger.llm.warc import round_trip
 
@@ -81,6 +82,11 @@ def op8_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secret_scan.train(secret_scan.labelled_findings(spark))
+    return secret_scan.scan(_read(spark, sf_dir, "documents"), model, path="source")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -94,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_mixing": op7_mixing,
     "op8_voronoi_knn": op8_voronoi_knn,
+    "op9_secret_scan": op9_secret_scan,
     "op10_toxicity": op10_toxicity,
 }
 
