@@ -9,7 +9,7 @@ set needs the shorter prefix), at places that leave enough words after them
 
 Sets that meet are not listed pair by pair: each set's first words are looked up in
 lists of at most about ``LIST`` sets, split by a hash when a word is more common, and
-of a list only the first earlier set that fits is kept, after a bitmap of both has
+of a list only the earliest set that fits is tried, after a bitmap of both has
 shown that few enough words differ. These candidates are verified on the full sets.
 Where none held, all fits of that set are listed and verified, so nothing is lost.
 """
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streamledger.llm.common import stage, text_or_empty
+from streamledger.llm.common import pinned, stage, text_or_empty
 
 THRESHOLD = 0.9
 #: Lines with fewer distinct words are left as they are.
@@ -31,16 +31,18 @@ BITMAP = 1 << 18
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """``row, doc_id, line_no, line``; ``row`` numbers the rows as read."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
-    return rows.select("row", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    """``row, doc_id, line_no, line``, in lower case, words parted by blanks only; ``row`` numbers the rows as read."""
+    text = F.lower(text_or_empty("text"))
+    # plain searches and a split at one character are much cheaper than regular expressions over every text
+    other = [F.contains(text, F.lit(c)) for c in "\t\r\v\f"]
+    text = F.when(other[0] | other[1] | other[2] | other[3], F.regexp_replace(text, r"[\t\r\x0B\f]", " ")).otherwise(text)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.split(text, "\n", -1).alias("parts"))
+    return rows.select("row", "doc_id", F.posexplode("parts").alias("line_no", "line"))
 
 
 def _words() -> Column:
-    """Hashes of a line's distinct words; the empty word beside leading or trailing blanks is none."""
-    lower = F.translate("line", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    hashed = F.transform(F.split(lower, r"[\x20\x09-\x0D]+", -1), lambda w: F.xxhash64(w))
-    return F.array_remove(F.array_distinct(hashed), F.xxhash64(F.lit("")))
+    """Hashes of a line's distinct words; the empty word between two blanks is none."""
+    return F.array_remove(F.array_distinct(F.transform(F.split("line", " ", -1), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def _table(counts: DataFrame, size: int, value: str, empty: str, glue: str) -> str:
@@ -52,16 +54,16 @@ def _table(counts: DataFrame, size: int, value: str, empty: str, glue: str) -> s
 
 
 def _rarity(lines: DataFrame) -> Column:
-    """An array of how common each counter's words are, in quarters of a doubling."""
-    counts = lines.select(F.explode(_words()).alias("w")).groupBy(F.pmod("w", F.lit(SLOTS)).cast("int").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    levels = _table(counts, SLOTS, "cast(least(126, floor(4 * log2(n))) as string)", "0", ",")
+    """An array of how common each counter's words are, in quarters of a doubling, in the upper bits of longs."""
+    words = lines.select(F.explode(F.split("line", " ", -1)).alias("w"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(SLOTS - 1).cast("int").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    levels = _table(counts, SLOTS, "cast(shiftleft(cast(least(126, floor(4 * log2(n))) as bigint), 56) as string)", "0", ",")
     return F.from_json(F.lit(f"[{levels}]"), "array<bigint>")
 
 
 def _ordered(levels: Column) -> Column:
     """Words as longs that sort by rarity: the level above 56 bits of the hash."""
-    slot = lambda w: F.pmod(w, F.lit(SLOTS)).cast("int") + 1
-    return F.sort_array(F.transform("hashes", lambda w: F.shiftleft(F.element_at(levels, slot(w)), 56).bitwiseOR(F.shiftrightunsigned(w, 8))))
+    return F.sort_array(F.transform("hashes", lambda w: levels[w.bitwiseAND(SLOTS - 1).cast("int")].bitwiseOR(F.shiftrightunsigned(w, 8))))
 
 
 def _prefix(n: Column, overlap: Column) -> Column:
@@ -85,8 +87,8 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: i
     levels = _rarity(raw)
 
     def sets(lines: DataFrame) -> DataFrame:
-        hashed = lines.select("row", "doc_id", "line_no", _words().alias("hashes")).where(F.size("hashes") >= least_words)
-        return hashed.select("row", "doc_id", "line_no", _ordered(levels).alias("words"))
+        hashed = pinned(lines, "hashes", _words()).where(F.size("hashes") >= least_words)
+        return pinned(hashed.select("row", "doc_id", "line_no", "hashes"), "words", _ordered(levels)).select("row", "doc_id", "line_no", "words")
 
     n = F.size("words")
     bits = F.expr("aggregate(words, 0L, (a, w) -> a ^ shiftleft(1L, cast(w & 63 as int)))")
@@ -100,6 +102,8 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: i
     # one representative for each set of words: its first line
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "row", "line_no")
     reps = lines.groupBy("k1", "k2").agg(F.min(place).alias("place"), *[F.first(c).alias(c) for c in ("n", "prefix", "bits")])
+    # numbered in order of place, so that earlier is smaller
+    reps = reps.repartitionByRange("place").sortWithinPartitions("place")
     reps = stage(reps.withColumn("node", F.monotonically_increasing_id()), "representatives")
     later = _later(reps, raw, sets, threshold).withColumn("later", F.lit(True))
     decided = reps.select("k1", "k2", "place", "node").join(later, "node", "left").select("k1", "k2", "place", "later")
@@ -112,9 +116,9 @@ def _later(reps: DataFrame, raw: DataFrame, sets, threshold: float) -> DataFrame
     """``node`` of the representatives that match an earlier one."""
     n, i = F.col("n"), F.col("i")
     short = lambda m: _prefix(m, m * (2 * threshold / (1 + threshold)))
-    probe = reps.select("node", "place", "n", "bits", F.posexplode("prefix").alias("i", "word"))
+    probe = reps.select("node", "n", "bits", F.posexplode("prefix").alias("i", "word"))
     sizes = probe.groupBy("word").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("word", F.ceil(F.col("size") / LIST).cast("int").alias("parts"))
-    entry = F.struct(F.col("n").alias("m"), F.col("i").alias("j"), F.col("bits").alias("others"), F.col("place").alias("at"), F.col("node").alias("other"))
+    entry = F.struct(F.col("n").alias("m"), F.col("i").alias("j"), F.col("bits").alias("others"), F.col("node").alias("other"))
     lists = (
         probe.join(sizes, "word")
         .groupBy("word", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
@@ -125,19 +129,21 @@ def _later(reps: DataFrame, raw: DataFrame, sets, threshold: float) -> DataFrame
     def fits(e: Column) -> Column:
         m, j = e["m"], e["j"]
         enough = _enough(n, m, threshold)
+        # the cheapest test that most fail comes first; the bounds in it are rounded up, and those after it are exact
+        differ = F.bit_count(F.col("bits").bitwiseXOR(e["others"])) <= (n + m) * ((1 - threshold) / (1 + threshold)) + 1e-6
         alike = (m >= n * threshold - 1e-9) & (n >= m * threshold - 1e-9)
         # the smaller set's word must be in its short prefix
         meets = F.when(m <= n, j < short(m)).otherwise(i < short(n))
         left = 1 + F.least(n - i - 1, m - j - 1)
-        differ = F.bit_count(F.col("bits").bitwiseXOR(e["others"]))
-        return (e["at"] < F.col("place")) & alike & meets & (left >= enough) & (differ <= n + m - 2 * enough)
+        return (e["other"] < F.col("node")) & differ & alike & meets & (left >= enough)
 
-    found = probe.join(lists, "word").select("node", F.filter("entries", fits).alias("found")).where(F.size("found") > 0)
-    tried = stage(found.select(F.col("node").alias("late"), F.col("found")[0]["other"].alias("early")).distinct(), "candidates")
+    found = pinned(probe.join(lists, "word"), "found", F.filter("entries", fits)).where(F.size("found") > 0)
+    found = stage(found.select("node", F.col("found.other").alias("found")), "found")
+    tried = stage(found.select(F.col("node").alias("late"), F.array_min("found").alias("early")).distinct(), "candidates")
     held = stage(_verified(tried, reps, raw, sets, threshold), "held")
     # where no candidate held, all fits are listed
     unsure = tried.select("late").distinct().join(held, F.col("late") == F.col("node"), "left_anti")
-    rest = found.join(unsure, F.col("node") == F.col("late"), "left_semi").select(F.col("node").alias("late"), F.explode("found.other").alias("early")).distinct()
+    rest = found.join(unsure, F.col("node") == F.col("late"), "left_semi").select(F.col("node").alias("late"), F.explode("found").alias("early")).distinct()
     rest = stage(rest.join(tried, ["late", "early"], "left_anti"), "rest")
     if rest.isEmpty():
         return held
