@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamledger.llm.common import lists, mix, pieces, raw_bytes, stage, text_or_empty, word_hashes
+from streamledger.llm.common import fresh, lists, mix, pieces, raw_bytes, stage, text_or_empty, word_hashes
 
 MASKS = ("1101101011", "1110010111", "1011011101")
 SPAN = 10
@@ -184,6 +184,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark passage, with all their columns."""
-    leaks = overlaps(docs, benchmark).select(F.col("doc_id").alias("leak_id"), F.col("digest").alias("leak_digest")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("leak_id")) & (F.xxhash64(text_or_empty("text")) == F.col("leak_digest"))
+    own, digest = fresh(docs, "leak_id"), fresh(docs, "leak_digest")
+    leaks = overlaps(docs, benchmark).select(F.col("doc_id").alias(own), F.col("digest").alias(digest)).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.xxhash64(text_or_empty("text")) == F.col(digest))
     return docs.join(leaks, same, "left_anti")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streamledger.llm.common import pinned, stage, text_or_empty
+from streamledger.llm.common import fresh, pinned, stage, text_or_empty
 
 THRESHOLD = 0.9
 #: Lines with fewer distinct words are left as they are.
@@ -184,13 +184,12 @@ def without_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     A row all of whose non-blank lines are repeats goes; a row that had only blank lines,
     or none, stays as it is. ``n_chars``, where there is such a column, counts what is left.
     """
-    gone = repeated_lines(docs, threshold).groupBy("row").agg(F.collect_set("line_no").alias("gone_lines")).withColumnRenamed("row", "gone_row")
-    numbered = docs.withColumn("own_row", F.monotonically_increasing_id())
-    joined = numbered.join(gone, F.col("own_row") == F.col("gone_row"), "left")
-    split = F.split(text_or_empty("text"), "\n", -1)
-    kept = F.filter(split, lambda x, k: ~F.array_contains(F.col("gone_lines"), k))
-    rest = joined.withColumn("text", F.when(F.col("gone_row").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    rest = rest.where(F.col("gone_row").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    own, of, lines = (fresh(docs, x) for x in ("own_row", "gone_row", "gone_lines"))
+    gone = repeated_lines(docs, threshold).groupBy(F.col("row").alias(of)).agg(F.collect_set("line_no").alias(lines))
+    joined = docs.withColumn(own, F.monotonically_increasing_id()).join(gone, F.col(own) == F.col(of), "left")
+    kept = F.filter(F.split(text_or_empty("text"), "\n", -1), lambda x, k: ~F.array_contains(F.col(lines), k))
+    rest = joined.withColumn("text", F.when(F.col(of).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    rest = rest.where(F.col(of).isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
-        rest = rest.withColumn("n_chars", F.when(F.col("gone_row").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        rest = rest.withColumn("n_chars", F.when(F.col(of).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return rest.select(*docs.columns)

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from streamledger.llm.common import (
     connected_components,
+    fresh,
     lists,
     mix,
     raw_bytes,
@@ -242,6 +243,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The first row of each component, with the columns of ``docs``: by smallest id, then in the order read."""
-    kept = _grouped(docs, width, percent).where(F.col("row") == F.col("first.row")).select(F.col("row").alias("kept_row"))
-    numbered = docs.withColumn("own_row", F.monotonically_increasing_id())
-    return numbered.join(kept, F.col("own_row") == F.col("kept_row"), "left_semi").select(*docs.columns)
+    own, kept = fresh(docs, "own_row"), fresh(docs, "kept_row")
+    first = _grouped(docs, width, percent).where(F.col("row") == F.col("first.row")).select(F.col("row").alias(kept))
+    numbered = docs.withColumn(own, F.monotonically_increasing_id())
+    return numbered.join(first, F.col(own) == F.col(kept), "left_semi").select(*docs.columns)
