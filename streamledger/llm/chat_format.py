@@ -76,10 +76,11 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     leaves = jump.where("parent is null").join(nodes.where("parent is not null").select(F.col("parent").alias("node")).distinct(), "node", "left_anti")
     rank = Window.partitionBy("tree_id").orderBy(F.col("score").desc(), "node")
     chosen = leaves.withColumn("branch", F.row_number().over(rank)).where(F.col("branch") <= branches)
-    found = chosen.select("tree_id", F.col("node").alias("leaf"), "branch", (F.col("hops") - 1).alias("depth"), "node")
+    found = stage(chosen.select("tree_id", F.col("node").alias("leaf"), "branch", (F.col("hops") - 1).alias("depth"), "node"), "paths")
     for k in reversed(range(len(steps))):
         above = found.join(steps[k], F.col("node") == F.col("from")).select("tree_id", "leaf", "branch", (F.col("depth") - 2**k).alias("depth"), F.col("to").alias("node"))
-        found = found.unionByName(above)
+        # written out, as each step would else hold the plan of all steps before it twice
+        found = stage(found.unionByName(above), "paths")
     return found
 
 
