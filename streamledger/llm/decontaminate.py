@@ -57,10 +57,9 @@ def _bench_seeds(it):
         for first, last in pieces(batch.column("text")):
             part = batch.slice(first, last - first)
             words, offsets = word_hashes(*raw_bytes(part.column("text")), WORD)
-            ids = part.column("item_id").to_numpy(zero_copy_only=False)
             for at, h in _seeds(words, offsets):
                 item = np.searchsorted(offsets, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[item], pa.int64()), pa.array((at - offsets[item]).astype(np.int32))], schema=_BENCH)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column("item_id").take(pa.array(item)), pa.array((at - offsets[item]).astype(np.int32))], schema=_BENCH)
 
 
 _ITEMS = pa.schema([("item_id", pa.int64()), ("item", pa.list_(pa.int64()))])
