@@ -30,13 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN_DIRS[app]
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there.
 
     A lost executor costs the rerun of its tasks only; what is staged stays readable.
     """
     path = f"{shared_dir(df.sparkSession)}/staged/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

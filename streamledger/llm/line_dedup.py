@@ -16,6 +16,8 @@ Where none held, all fits of that set are listed and verified, so nothing is los
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +26,12 @@ from streamledger.llm.common import fresh, pinned, stage, text_or_empty
 THRESHOLD = 0.9
 #: Lines with fewer distinct words are left as they are.
 LEAST_WORDS = 3
-SLOTS = 1 << 17
+SLOTS = 1 << 16
 LIST = 256
-#: Bytes of the bitmap by which a scan passes over lines that are not candidates.
-BITMAP = 1 << 18
+#: Bytes of a dictionary page in the files that keep the lines' words.
+DICTIONARY = 8 << 20
+#: Bits of the bitmap by which a scan passes over lines that are not candidates.
+BITMAP = 1 << 21
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -45,25 +49,27 @@ def _words() -> Column:
     return F.array_remove(F.array_distinct(F.transform(F.split("line", " ", -1), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def _table(counts: DataFrame, size: int, value: str, empty: str, glue: str) -> str:
-    """``counts(slot, ...)`` as one string of ``size`` entries, put together in one row of fixed size."""
-    every = counts.sparkSession.range(size).select(F.col("id").cast("int").alias("every"))
-    filled = every.join(counts, F.col("every") == F.col("slot"), "left").select("every", F.coalesce(F.expr(value), F.lit(empty)).alias("v"))
-    row = filled.agg(F.sort_array(F.collect_list(F.struct("every", "v"))).alias("a")).select(F.array_join(F.transform("a", lambda x: x["v"]), glue).alias("s"))
-    return row.first()["s"]
-
-
 def _rarity(lines: DataFrame) -> Column:
-    """An array of how common each counter's words are, in quarters of a doubling, in the upper bits of longs."""
-    words = lines.select(F.explode(F.split("line", " ", -1)).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(SLOTS - 1).cast("int").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    levels = _table(counts, SLOTS, "cast(shiftleft(cast(least(126, floor(4 * log2(n))) as bigint), 56) as string)", "0", ",")
-    return F.from_json(F.lit(f"[{levels}]"), "array<bigint>")
+    """An array of how common each counter's words are, in quarters of a doubling."""
+    words = lines.select(F.explode("hashes").alias("w"))
+    counts = words.groupBy(F.col("w").bitwiseAND(SLOTS - 1).cast("int").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    every = counts.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("every"))
+    level = F.expr("coalesce(cast(least(126, floor(4 * log2(n))) as int), 0)")
+    filled = every.join(counts, F.col("every") == F.col("slot"), "left").select("every", level.alias("v"))
+    # one row of fixed size
+    row = filled.agg(F.sort_array(F.collect_list(F.struct("every", "v"))).alias("a")).select(F.array_join(F.transform("a", lambda x: x["v"]), ",").alias("s"))
+    return F.from_json(F.lit(f"[{row.first()['s']}]"), "array<int>")
 
 
 def _ordered(levels: Column) -> Column:
     """Words as longs that sort by rarity: the level above 56 bits of the hash."""
-    return F.sort_array(F.transform("hashes", lambda w: levels[w.bitwiseAND(SLOTS - 1).cast("int")].bitwiseOR(F.shiftrightunsigned(w, 8))))
+
+    def key(w: Column) -> Column:
+        # never null, which lets the sort work on plain longs
+        level = F.coalesce(levels[w.bitwiseAND(SLOTS - 1).cast("int")], F.lit(0)).cast("long")
+        return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(w, 8))
+
+    return F.sort_array(F.transform("hashes", key))
 
 
 def _prefix(n: Column, overlap: Column) -> Column:
@@ -83,17 +89,16 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: i
     line. Lines of fewer than ``least_words`` distinct words, blank ones among them, match
     nothing. Null texts are one blank line. Rows that repeat match each other as any do.
     """
-    raw = _lines(docs)
-    levels = _rarity(raw)
-
-    def sets(lines: DataFrame) -> DataFrame:
-        hashed = pinned(lines, "hashes", _words()).where(F.size("hashes") >= least_words)
-        return pinned(hashed.select("row", "doc_id", "line_no", "hashes"), "words", _ordered(levels)).select("row", "doc_id", "line_no", "words")
+    # each text is split into words once; what follows reads the hashes
+    sets = pinned(_lines(docs), "hashes", _words()).where(F.size("hashes") >= least_words)
+    # a dictionary page that holds a large vocabulary keeps the files at two or three bytes a word
+    sets = stage(sets.select("row", "doc_id", "line_no", "hashes"), "line-sets", {"parquet.dictionary.page.size": DICTIONARY})
+    ordered = pinned(sets, "words", _ordered(_rarity(sets))).select("row", "doc_id", "line_no", "words")
 
     n = F.size("words")
     bits = F.expr("aggregate(words, 0L, (a, w) -> a ^ shiftleft(1L, cast(w & 63 as int)))")
     lines = stage(
-        sets(raw).select(
+        ordered.select(
             "row", "doc_id", "line_no", n.alias("n"), F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"),
             F.slice("words", F.lit(1), _prefix(n, n * threshold)).alias("prefix"), bits.alias("bits"),
         ),
@@ -105,63 +110,66 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: i
     # numbered in order of place, so that earlier is smaller
     reps = reps.repartitionByRange("place").sortWithinPartitions("place")
     reps = stage(reps.withColumn("node", F.monotonically_increasing_id()), "representatives")
-    later = _later(reps, raw, sets, threshold).withColumn("later", F.lit(True))
+    later = _later(reps, sets, threshold).withColumn("later", F.lit(True))
     decided = reps.select("k1", "k2", "place", "node").join(later, "node", "left").select("k1", "k2", "place", "later")
     marked = lines.select("row", "doc_id", "line_no", "k1", "k2").join(decided, ["k1", "k2"])
     first = (F.col("row") == F.col("place.row")) & (F.col("line_no") == F.col("place.line_no"))
     return marked.where(~first | F.coalesce("later", F.lit(False))).select("row", "doc_id", "line_no")
 
 
-def _later(reps: DataFrame, raw: DataFrame, sets, threshold: float) -> DataFrame:
+def _later(reps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """``node`` of the representatives that match an earlier one."""
     n, i = F.col("n"), F.col("i")
     short = lambda m: _prefix(m, m * (2 * threshold / (1 + threshold)))
     probe = reps.select("node", "n", "bits", F.posexplode("prefix").alias("i", "word"))
+    # the sizes of sets that can match one of n words, and the classes of these sizes
+    bounds = {"low": F.ceil(n * threshold - 1e-9).cast("int"), "high": F.floor((n + 1e-9) / threshold).cast("int")}
+    size_class = lambda m: F.floor(F.log(m) / -math.log(threshold)).cast("int")
+    classes = {"low_class": size_class(F.col("low")), "high_class": size_class(F.col("high"))}
     sizes = probe.groupBy("word").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("word", F.ceil(F.col("size") / LIST).cast("int").alias("parts"))
     entry = F.struct(F.col("n").alias("m"), F.col("i").alias("j"), F.col("bits").alias("others"), F.col("node").alias("other"))
     lists = (
         probe.join(sizes, "word")
-        .groupBy("word", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
+        .groupBy("word", size_class(n).alias("size_class"), F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
         .agg(F.collect_list(entry).alias("entries"))
-        .drop("part")
+        .select(F.col("word").alias("of"), "size_class", "entries")
     )
 
     def fits(e: Column) -> Column:
         m, j = e["m"], e["j"]
-        enough = _enough(n, m, threshold)
-        # the cheapest test that most fail comes first; the bounds in it are rounded up, and those after it are exact
+        # the cheapest test that most fail comes first; the bounds of the bitmap are rounded up, the others are exact
+        alike = (m >= F.col("low")) & (m <= F.col("high"))
         differ = F.bit_count(F.col("bits").bitwiseXOR(e["others"])) <= (n + m) * ((1 - threshold) / (1 + threshold)) + 1e-6
-        alike = (m >= n * threshold - 1e-9) & (n >= m * threshold - 1e-9)
         # the smaller set's word must be in its short prefix
         meets = F.when(m <= n, j < short(m)).otherwise(i < short(n))
         left = 1 + F.least(n - i - 1, m - j - 1)
-        return (e["other"] < F.col("node")) & differ & alike & meets & (left >= enough)
+        return alike & (e["other"] < F.col("node")) & differ & meets & (left >= _enough(n, m, threshold))
 
-    found = pinned(probe.join(lists, "word"), "found", F.filter("entries", fits)).where(F.size("found") > 0)
+    met = probe.withColumns(bounds).withColumns(classes).join(lists, (F.col("word") == F.col("of")) & F.col("size_class").between(F.col("low_class"), F.col("high_class")))
+    found = pinned(met, "found", F.filter("entries", fits)).where(F.size("found") > 0)
     found = stage(found.select("node", F.col("found.other").alias("found")), "found")
     tried = stage(found.select(F.col("node").alias("late"), F.array_min("found").alias("early")).distinct(), "candidates")
-    held = stage(_verified(tried, reps, raw, sets, threshold), "held")
+    held = stage(_verified(tried, reps, sets, threshold), "held")
     # where no candidate held, all fits are listed
     unsure = tried.select("late").distinct().join(held, F.col("late") == F.col("node"), "left_anti")
     rest = found.join(unsure, F.col("node") == F.col("late"), "left_semi").select(F.col("node").alias("late"), F.explode("found").alias("early")).distinct()
     rest = stage(rest.join(tried, ["late", "early"], "left_anti"), "rest")
     if rest.isEmpty():
         return held
-    return held.unionByName(_verified(rest, reps, raw, sets, threshold))
+    return held.unionByName(_verified(rest, reps, sets, threshold))
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, raw: DataFrame, sets, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """``node`` of the later sets of ``pairs(late, early)`` that hold on the full sets."""
     nodes = pairs.select(F.col("late").alias("node")).unionByName(pairs.select(F.col("early").alias("node"))).distinct()
     wanted = stage(reps.join(nodes, "node").select("node", F.col("place.row").alias("at_row"), F.col("place.line_no").alias("at_line")), "wanted")
-    # a bitmap of fixed size lets a scan pass over most other lines before it looks at their words
-    slot = F.pmod(F.xxhash64("at_row", "at_line"), F.lit(8 * BITMAP)).cast("int")
-    octets = wanted.groupBy(F.shiftright(slot, 3).alias("slot")).agg(F.expr(f"bit_or(shiftleft(1, cast(pmod(xxhash64(at_row, at_line), {8 * BITMAP}) as int) & 7))").alias("b"))
-    bitmap = F.unhex(F.lit(_table(octets, BITMAP, "lpad(hex(b), 2, '0')", "00", "")))
-    at = F.pmod(F.xxhash64("row", "line_no"), F.lit(8 * BITMAP)).cast("int")
-    octet = F.conv(F.hex(F.substring(bitmap, F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    likely = raw.where(F.shiftright(octet, 0).bitwiseAND(F.call_function("shiftleft", F.lit(1), at.bitwiseAND(7))) != 0)
-    full = sets(likely).join(wanted, (F.col("row") == F.col("at_row")) & (F.col("line_no") == F.col("at_line"))).select("node", "words")
+    # a bitmap of fixed size, sent to every task, lets most other lines fall out before the join; a full one lets all pass
+    place = lambda row, line: F.pmod(F.xxhash64(row, line), F.lit(BITMAP)).cast("int")
+    bit = place("at_row", "at_line")
+    bitmap = wanted.groupBy(F.shiftright(bit, 6).alias("slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63))).alias("set_bits"))
+    likely = sets.withColumn("bit", place("row", "line_no")).join(F.broadcast(bitmap), F.shiftright("bit", 6) == F.col("slot"))
+    likely = likely.where(F.call_function("shiftright", F.col("set_bits"), F.col("bit").bitwiseAND(63)).bitwiseAND(1) != 0)
+    full = likely.join(wanted, (F.col("row") == F.col("at_row")) & (F.col("line_no") == F.col("at_line"))).select("node", F.col("hashes").alias("words"))
     full = stage(full, "sets")
     late, early = (full.select(F.col("node").alias(k), F.col("words").alias(w)) for k, w in (("late", "a"), ("early", "b")))
     common = F.size(F.array_intersect("a", "b"))
