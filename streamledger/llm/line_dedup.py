@@ -123,30 +123,37 @@ def _later(reps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     n, i = F.col("n"), F.col("i")
     short = lambda m: _prefix(m, m * (2 * threshold / (1 + threshold)))
     probe = reps.select("node", "n", "bits", F.posexplode("prefix").alias("i", "word"))
-    # the sizes of sets that can match one of n words, and the classes of these sizes
-    bounds = {"low": F.ceil(n * threshold - 1e-9).cast("int"), "high": F.floor((n + 1e-9) / threshold).cast("int")}
+    # the sizes of sets that can match one of n words, and the classes of these sizes; a word behind the short prefix meets no larger set
+    beyond = i >= short(n)
+    high = F.when(beyond, n).otherwise(F.floor((n + 1e-9) / threshold).cast("int"))
+    bounds = {"beyond": beyond, "low": F.ceil(n * threshold - 1e-9).cast("int"), "high": high}
     size_class = lambda m: F.floor(F.log(m) / -math.log(threshold)).cast("int")
-    classes = {"low_class": size_class(F.col("low")), "high_class": size_class(F.col("high"))}
+    classes = {"low_class": size_class(F.col("low")), "own_class": size_class(n), "high_class": size_class(F.col("high"))}
+    # as many words as may differ, for the largest set
+    most = {"most": F.floor((n + F.col("high")) * ((1 - threshold) / (1 + threshold)) + 1e-6).cast("int")}
     sizes = probe.groupBy("word").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("word", F.ceil(F.col("size") / LIST).cast("int").alias("parts"))
     entry = F.struct(F.col("n").alias("m"), F.col("i").alias("j"), F.col("bits").alias("others"), F.col("node").alias("other"))
     lists = (
         probe.join(sizes, "word")
-        .groupBy("word", size_class(n).alias("size_class"), F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
+        .groupBy("word", size_class(n).alias("size_class"), (i >= short(n)).alias("far"), F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
         .agg(F.collect_list(entry).alias("entries"))
-        .select(F.col("word").alias("of"), "size_class", "entries")
+        .select(F.col("word").alias("of"), "size_class", "far", "entries")
     )
 
     def fits(e: Column) -> Column:
         m, j = e["m"], e["j"]
         # the cheapest test that most fail comes first; the bounds of the bitmap are rounded up, the others are exact
+        differ = F.bit_count(F.col("bits").bitwiseXOR(e["others"])) <= F.col("most")
         alike = (m >= F.col("low")) & (m <= F.col("high"))
-        differ = F.bit_count(F.col("bits").bitwiseXOR(e["others"])) <= (n + m) * ((1 - threshold) / (1 + threshold)) + 1e-6
         # the smaller set's word must be in its short prefix
         meets = F.when(m <= n, j < short(m)).otherwise(i < short(n))
         left = 1 + F.least(n - i - 1, m - j - 1)
-        return alike & (e["other"] < F.col("node")) & differ & meets & (left >= _enough(n, m, threshold))
+        return differ & (e["other"] < F.col("node")) & alike & meets & (left >= _enough(n, m, threshold))
 
-    met = probe.withColumns(bounds).withColumns(classes).join(lists, (F.col("word") == F.col("of")) & F.col("size_class").between(F.col("low_class"), F.col("high_class")))
+    # words behind the short prefix of a set are met by those within the short prefix of a smaller set only
+    sizes_meet = F.col("size_class").between(F.col("low_class"), F.col("high_class"))
+    sides_meet = ~F.col("far") | (~F.col("beyond") & (F.col("size_class") >= F.col("own_class")))
+    met = probe.withColumns(bounds).withColumns(classes).withColumns(most).join(lists, (F.col("word") == F.col("of")) & sizes_meet & sides_meet)
     found = pinned(met, "found", F.filter("entries", fits)).where(F.size("found") > 0)
     found = stage(found.select("node", F.col("found.other").alias("found")), "found")
     tried = stage(found.select(F.col("node").alias("late"), F.array_min("found").alias("early")).distinct(), "candidates")
