@@ -1,7 +1,7 @@
 """Secret scans, with DataFrame operations only: candidates, then a random forest that removes false findings.
 
-Every word of a text that is long enough and holds a digit, or follows a telling key,
-is a candidate. The forest (Spark ML) judges it by its length, the transitions between
+Every run of a secret's characters, within a word of a text, that is long enough and in a
+word with a digit, or follows a telling key, is a candidate. The forest (Spark ML) judges it by its length, the transitions between
 kinds of characters in it, how much of it dictionary words cover, the path it came
 from and the words beside it. It is trained on labelled findings; ``labelled_findings``
 makes a set of them by rules, for use where nobody has labelled any.
@@ -32,6 +32,10 @@ DICTIONARY = (
 TELLING = "passw(or)?d|passwd|pwd|secret|token|api_?-?key|access_?-?key|auth|bearer|credential|private"
 HARMLESS = "commit|sha(1|256)?|md5|checksum|digest|hash|revision|uuid|guid|build|version|isbn|order|invoice|phone|card|account|example|placeholder|dummy"
 
+#: A run of a secret's characters; "=" behind it is padding, unless a value follows.
+CHARS = r"A-Za-z0-9_+/.~\-"
+RUN = rf"[{CHARS}]+(?:={{1,2}}(?![{CHARS}=]|[\"'][{CHARS}]))?"
+
 FEATURES = ["length", "transitions", "runs", "digits", "upper", "vowels", "distinct", "hex", "covered", "repeats", "shape", "key", "beside", "harmless", "trial_path", "quoted"]
 
 
@@ -39,27 +43,62 @@ def _share(count: Column) -> Column:
     return count / F.greatest(F.lit(1), F.length("value"))
 
 
-def features(findings: DataFrame) -> DataFrame:
-    """``findings(word, before, before2, after, path)`` with ``value`` and the columns of ``FEATURES``.
+def _pieces(word: str) -> Column:
+    """The runs of a word and the gaps around them, one more than there are runs."""
+    return F.struct(F.regexp_extract_all(word, F.lit(RUN), F.lit(0)).alias("runs"), F.split(word, RUN, -1).alias("gaps"))
 
-    Null strings count as empty.
+
+def _values(pieces: Column) -> Column:
+    """``value, lead, tail`` of each run: the run without full stops at its end, and what stands next to it in the word.
+
+    ``lead`` reaches back over two more runs, ``tail`` forth over one, so a long word is not copied for each run.
     """
-    given = findings.withColumns({c: text_or_empty(c) for c in ("word", "before", "before2", "after", "path")})
-    # the value is the word's last run of a secret's characters; what stands before it in the word, or before the word, is its key
-    given = given.withColumn("value", F.regexp_extract("word", r"([A-Za-z0-9_+/.~\-]+={0,2})[^A-Za-z0-9_+/.~\-=]*$", 1))
-    given = given.withColumn("head", F.lower(F.concat_ws(" ", "before2", "before", F.substr("word", F.lit(1), F.greatest(F.lit(0), F.length("word") - F.length("value"))))))
-    value, low = F.col("value"), F.lower("value")
-    runs = F.regexp_count(value, F.lit("[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+"))
-    plain = F.regexp_replace(low, "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))), "")
-    shape = (
+    runs, gaps = pieces["runs"], pieces["gaps"]
+    part = lambda of, i: F.coalesce(F.get(of, i), F.lit(""))
+
+    def value(run: Column, i: Column) -> Column:
+        short = F.call_function("rtrim", F.lit("."), run)
+        lead = F.concat(*[part(of, i - k) for of, k in ((gaps, 2), (runs, 2), (gaps, 1), (runs, 1), (gaps, 0))])
+        tail = F.concat(F.substr(run, F.length(short) + 1), part(gaps, i + 1), part(runs, i + 1))
+        return F.struct(short.alias("value"), lead.alias("lead"), tail.alias("tail"))
+
+    return F.transform(runs, value)
+
+
+def _shape(value: Column, lead: Column, tail: Column) -> Column:
+    """A number for values of a known form: above 0 for secrets, below for what is none."""
+    return (
         F.when(value.rlike(r"^(AKIA|ASIA)[0-9A-Z]{16}$"), 1.0)
         .when(value.rlike(r"^(gh[pousr]_|xox[abp]-|sk_live_|AIza|glpat-)[0-9A-Za-z_\-]{10,}$"), 2.0)
-        .when(F.col("word").rlike(r"^[^@\s]+@[^@\s]+\.[a-z]{2,}[^A-Za-z0-9]*$"), -1.0)
-        .when(F.col("word").rlike(r"^\W*[a-z]+://"), -2.0)
+        # user:value@host
+        .when(F.startswith(tail, F.lit("@")) & lead.rlike(r"(^|[^A-Za-z0-9_.~@\-])[A-Za-z0-9_.~\-]+:$"), 3.0)
+        .when(tail.rlike(r"^@[A-Za-z0-9.\-]+\.[a-z]{2,}") | (F.endswith(lead, F.lit("@")) & value.rlike(r"\.[a-z]{2,}$")), -1.0)
+        .when(F.startswith(value, F.lit("//")) & lead.rlike("[a-z]:$"), -2.0)
         .when(value.rlike(r"^[0-9.\-/]+$"), -3.0)
-        .when(low.rlike(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"), -4.0)
+        .when(F.lower(value).rlike(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"), -4.0)
         .otherwise(0.0)
     )
+
+
+def features(findings: DataFrame) -> DataFrame:
+    """``findings(word, before, before2, after, path)`` with ``value`` and the columns of ``FEATURES``.
+
+    A column ``value`` tells which run of the word is meant; without it, or where it is
+    null, the last one is. Null strings count as empty.
+    """
+    given = findings
+    if "lead" not in findings.columns:
+        values = _values(_pieces("word"))
+        if "value" in findings.columns:
+            values = F.filter(values, lambda v: F.col("value").isNull() | (v["value"] == F.col("value")))
+        given = given.withColumn("word", text_or_empty("word")).withColumn("meant", F.try_element_at(values, F.lit(-1)))
+        given = given.withColumns({c: F.col("meant")[c] for c in ("value", "lead", "tail")}).drop("meant")
+    given = given.withColumns({c: text_or_empty(c) for c in ("value", "lead", "tail", "before", "before2", "after", "path")})
+    # what stands before the value in the word, or before the word, is its key
+    given = given.withColumn("head", F.lower(F.concat_ws(" ", "before2", "before", "lead")))
+    value, low = F.col("value"), F.lower("value")
+    runs = F.regexp_count(value, F.lit("[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+"))
+    plain = F.regexp_replace(low, "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))), "")
     return given.withColumns(
         {
             "length": F.length("value").cast("double"),
@@ -72,12 +111,12 @@ def features(findings: DataFrame) -> DataFrame:
             "hex": low.rlike("^[0-9a-f]+$").cast("double"),
             "covered": _share(F.length("value") - F.length(plain)),
             "repeats": _share(F.regexp_count(low, F.lit(r"(.)\1\1"))),
-            "shape": shape,
+            "shape": _shape(value, F.col("lead"), F.col("tail")),
             "key": F.col("head").rlike(f"({TELLING})[\"']?\\s*[:=]+>?\\s*[\"']*$").cast("double"),
             "beside": F.concat_ws(" ", "head", F.lower("after")).rlike(TELLING).cast("double"),
             "harmless": F.concat_ws(" ", "head", F.lower("after")).rlike(f"\\b({HARMLESS})\\b").cast("double"),
             "trial_path": F.lower("path").rlike("test|example|sample|mock|fixture|demo|docs?/").cast("double"),
-            "quoted": F.col("word").rlike("[\"'`]").cast("double"),
+            "quoted": (F.col("lead").rlike("[\"'`]$") | F.col("tail").rlike("^[\"'`]")).cast("double"),
         }
     )
 
@@ -108,26 +147,37 @@ def labelled_findings(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
         (F.concat(F.lit("https://"), pick(4, *DICTIONARY), F.lit(".example.org/"), words), 0.0),
         (F.concat_ws("-", (number(19, 60) + 1970).cast("string"), F.lpad((number(30, 12) + 1).cast("string"), 2, "0"), F.lpad((number(31, 28) + 1).cast("string"), 2, "0")), 0.0),
     ]
+    # the value is not the last run of these words
+    site = F.concat(pick(4, *DICTIONARY), F.lit(".example.org/"))
+    hash_ = F.substring(part(16), 1, 40)
+    inside = [
+        (F.concat(F.lit('{"'), key, F.lit('":"'), random, F.lit('","id":'), number(7, 1000).cast("string"), F.lit("}")), 1.0, random),
+        (F.concat(F.lit("https://"), site, F.lit("?"), key, F.lit("="), random, F.lit("&x="), number(7, 1000).cast("string")), 1.0, random),
+        (F.concat(pick(50, "postgres://", "https://", "redis://", ""), pick(5, *DICTIONARY), F.lit(":"), random, F.lit("@"), site, pick(6, *DICTIONARY)), 1.0, random),
+        (F.concat(F.lit('{"'), pick(14, "commit", "sha1", "md5", "checksum", "revision", "digest"), F.lit('":"'), hash_, F.lit('","id":'), number(7, 1000).cast("string"), F.lit("}")), 0.0, hash_),
+        (F.concat(F.lit("https://"), site, F.lit("?"), pick(51, "id", "order", "page", "ref"), F.lit("="), digits, F.lit("&x="), number(7, 1000).cast("string")), 0.0, digits),
+    ]
+    kinds = [*[(made, is_secret, F.lit(None).cast("string")) for made, is_secret in kinds], *inside]
     kind = number(40, len(kinds))
-    text, label = F.when(kind == 0, kinds[0][0]), F.when(kind == 0, kinds[0][1])
-    for k, (made, is_secret) in enumerate(kinds[1:], 1):
-        text, label = text.when(kind == k, made), label.when(kind == k, is_secret)
+    text, label, value = (F.when(kind == 0, x) for x in kinds[0])
+    for k, (made, is_secret, meant) in enumerate(kinds[1:], 1):
+        text, label, value = text.when(kind == k, made), label.when(kind == k, is_secret), value.when(kind == k, meant)
     words_ = F.split(F.concat_ws(" ", pick(41, *DICTIONARY), pick(42, *DICTIONARY), text, pick(43, *DICTIONARY)), " ")
-    rows = spark.range(n).select(words_.alias("w"), label.alias("label"), pick(44, "src/main", "lib/core", "app", "src0", "tests/unit", "docs/example", "config").alias("path"))
+    rows = spark.range(n).select(words_.alias("w"), label.alias("label"), value.alias("value"), pick(44, "src/main", "lib/core", "app", "src0", "tests/unit", "docs/example", "config").alias("path"))
     at = F.size("w") - 1
     return rows.select(
-        F.element_at("w", at).alias("word"), F.element_at("w", at - 1).alias("before"), F.element_at("w", at - 2).alias("before2"), F.element_at("w", at + 1).alias("after"), "path", "label"
+        F.element_at("w", at).alias("word"), F.element_at("w", at - 1).alias("before"), F.element_at("w", at - 2).alias("before2"), F.element_at("w", at + 1).alias("after"), "path", "label", "value"
     )
 
 
 def train(findings: DataFrame) -> RandomForestClassificationModel:
-    """A random forest on ``findings(word, before, before2, after, path, label)``."""
+    """A random forest on ``findings(word, before, before2, after, path, label)``, and ``value`` where they have it."""
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(findings)).select("features", "label")
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt").fit(rows)
 
 
 def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``doc_id, at, word, before, before2, after, path``: the words that may hold a secret, ``at`` counted from 0."""
+    """``doc_id, at, value, lead, tail, before, before2, after, path``: the runs of words that may be a secret, ``at`` the word's number from 0."""
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(path).alias("path") if path else F.lit("").alias("path"), text_or_empty("text").alias("text"))
     words = pinned(given.where(F.col("text").rlike("[0-9]")), "w", F.split("text", r"[\x20\x09-\x0D]+", -1)).select("doc_id", "path", "w")
     found = F.expr(f"filter(sequence(0, size(w) - 1), i -> length(w[i]) >= {LEAST_LENGTH} and w[i] rlike '[0-9]')")
@@ -135,13 +185,16 @@ def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
     # only the words around each candidate leave the row
     around = F.transform("found", lambda i: F.struct(i.alias("at"), *[F.get("w", i + k).alias(name) for k, name in ((0, "word"), (-1, "before"), (-2, "before2"), (1, "after"))]))
     rows = picked.select("doc_id", "path", F.explode(around).alias("c")).select("doc_id", "path", "c.*")
-    return rows.where(F.length(F.regexp_extract("word", r"([A-Za-z0-9_+/.~\-]+={0,2})[^A-Za-z0-9_+/.~\-=]*$", 1)) >= LEAST_LENGTH)
+    # only the runs themselves leave the word, which may be a whole minified file
+    values = F.filter(_values(F.col("pieces")), lambda v: F.length(v["value"]) >= LEAST_LENGTH)
+    rows = pinned(rows, "pieces", _pieces("word")).select("doc_id", "path", "at", "before", "before2", "after", F.explode(values).alias("v"))
+    return rows.select("doc_id", "path", "at", "before", "before2", "after", "v.*")
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, path: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Findings that the forest keeps: ``doc_id, at, value_sha256, shown, probability``.
 
-    ``at`` is the number of the word in the text; ``shown`` has the value's first four
+    ``at`` is the number of the word in the text, and a word may have several; ``shown`` has the value's first four
     characters, so that a report does not leak it. Null and empty texts have no findings;
     rows that repeat are scanned one by one; a null path counts as empty.
     """

@@ -243,6 +243,19 @@ def test_secrets_are_told_from_harmless_strings(spark):
     assert secret_scan.scan(docs.limit(0), model).count() == 0
 
 
+def test_secrets_inside_a_word_are_found(spark):
+    a, b = "0641917ea4e9feb9cda83477b57ac2654884f485", "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    texts = {
+        0: f'x {{"token":"{a}","id":7}} y', 1: f"x https://h/?api_key={a}&x=1 y", 2: f"x user:{a}@db/x y", 3: f'x {{"token":"{a}","secret":"{b}"}} y',
+        4: '{"n":1,' + ",".join(f'"k{i}":"v{i}"' for i in range(3000)) + f',"token":"{a}",' + ",".join(f'"m{i}":{i}' for i in range(3000)) + "}", 5: f"the token: {a}.",
+        10: f'x {{"commit":"{a}","id":7}} y', 11: "x https://shop.example.org/?order=4337166598464399&x=1 y", 12: '{"mail":"some.longer.name29@mail5.example.com","id":7}',
+    }
+    docs = spark.createDataFrame([(k, v, "src") for k, v in texts.items()], "doc_id long, text string, path string")
+    got = secret_scan.scan(docs, secret_scan.train(secret_scan.labelled_findings(spark)), path="path").collect()
+    digest = {hashlib.sha256(x.encode()).hexdigest(): x for x in (a, b)}
+    assert sorted((r["doc_id"], digest.get(r["value_sha256"])) for r in got) == sorted([(0, a), (1, a), (2, a), (3, a), (3, b), (4, a), (5, a)])
+
+
 def test_secret_model_on_held_out_findings(spark):
     found = secret_scan.labelled_findings(spark, 4000)
     model = secret_scan.train(found.where(F.pmod(F.xxhash64("word"), F.lit(4)) != 0))
