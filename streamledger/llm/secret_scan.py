@@ -1,7 +1,7 @@
 """Secret scans, with DataFrame operations only: candidates, then a random forest that removes false findings.
 
 Every run of a secret's characters, within a word of a text, that is long enough and in a
-word with a digit, or follows a telling key, is a candidate. The forest (Spark ML) judges it by its length, the transitions between
+word with a digit, or follows a telling key, or has a known form, is a candidate. The forest (Spark ML) judges it by its length, the transitions between
 kinds of characters in it, how much of it dictionary words cover, the path it came
 from and the words beside it. It is trained on labelled findings; ``labelled_findings``
 makes a set of them by rules, for use where nobody has labelled any.
@@ -36,6 +36,11 @@ HARMLESS = "commit|sha(1|256)?|md5|checksum|digest|hash|revision|uuid|guid|build
 CHARS = r"A-Za-z0-9_+/.~\-"
 RUN = rf"[{CHARS}]+(?:={{1,2}}(?![{CHARS}=]|[\"'][{CHARS}]))?"
 
+#: What stands before a value that has a telling key: an assignment, a flag of a command, or a bearer.
+KEYED = rf"(?:({TELLING})([_-]?key)?[\"'\])]*\s*[:=]+>?\s*|(?:^|\s)--?[a-z0-9-]*({TELLING})\s+|\bbearer\s+)[\"'`]*$"
+#: Words that may hold a value of a known form.
+KNOWN = r"(AKIA|ASIA)[0-9A-Z]{16}|(gh[pousr]_|xox[abp]-|sk_live_|AIza|glpat-)[0-9A-Za-z_\-]{10}|:[^/@\s]+@"
+
 FEATURES = ["length", "transitions", "runs", "digits", "upper", "vowels", "distinct", "hex", "covered", "repeats", "shape", "key", "beside", "harmless", "trial_path", "quoted"]
 
 
@@ -80,6 +85,11 @@ def _shape(value: Column, lead: Column, tail: Column) -> Column:
     )
 
 
+def _head(before2: str, before: str, lead: str | Column) -> Column:
+    """What stands before a value, over two words and its own, in lower case."""
+    return F.lower(F.concat_ws(" ", before2, before, lead))
+
+
 def features(findings: DataFrame) -> DataFrame:
     """``findings(word, before, before2, after, path)`` with ``value`` and the columns of ``FEATURES``.
 
@@ -95,7 +105,7 @@ def features(findings: DataFrame) -> DataFrame:
         given = given.withColumns({c: F.col("meant")[c] for c in ("value", "lead", "tail")}).drop("meant")
     given = given.withColumns({c: text_or_empty(c) for c in ("value", "lead", "tail", "before", "before2", "after", "path")})
     # what stands before the value in the word, or before the word, is its key
-    given = given.withColumn("head", F.lower(F.concat_ws(" ", "before2", "before", "lead")))
+    given = given.withColumn("head", _head("before2", "before", "lead"))
     value, low = F.col("value"), F.lower("value")
     runs = F.regexp_count(value, F.lit("[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+"))
     plain = F.regexp_replace(low, "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))), "")
@@ -112,7 +122,7 @@ def features(findings: DataFrame) -> DataFrame:
             "covered": _share(F.length("value") - F.length(plain)),
             "repeats": _share(F.regexp_count(low, F.lit(r"(.)\1\1"))),
             "shape": _shape(value, F.col("lead"), F.col("tail")),
-            "key": F.col("head").rlike(f"({TELLING})[\"']?\\s*[:=]+>?\\s*[\"']*$").cast("double"),
+            "key": F.col("head").rlike(KEYED).cast("double"),
             "beside": F.concat_ws(" ", "head", F.lower("after")).rlike(TELLING).cast("double"),
             "harmless": F.concat_ws(" ", "head", F.lower("after")).rlike(f"\\b({HARMLESS})\\b").cast("double"),
             "trial_path": F.lower("path").rlike("test|example|sample|mock|fixture|demo|docs?/").cast("double"),
@@ -157,6 +167,22 @@ def labelled_findings(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
         (F.concat(F.lit('{"'), pick(14, "commit", "sha1", "md5", "checksum", "revision", "digest"), F.lit('":"'), hash_, F.lit('","id":'), number(7, 1000).cast("string"), F.lit("}")), 0.0, hash_),
         (F.concat(F.lit("https://"), site, F.lit("?"), pick(51, "id", "order", "page", "ref"), F.lit("="), digits, F.lit("&x="), number(7, 1000).cast("string")), 0.0, digits),
     ]
+    # letters alone, short values, and what follows a key without being a secret
+    letters = lambda k, n: F.translate(F.substring(part(k), 1, n), "0123456789abcdef", "ghijklmnopqrstuv")
+    odd = lambda k: F.translate(F.substring(part(k), 1, 5), "0123456789abcdef", "aeioulnrstmcbdhp")
+    phrase = F.concat_ws("-", odd(60), pick(61, *DICTIONARY), odd(62))
+    case = F.element_at(F.array(letters(63, 20), F.upper(letters(63, 32)), F.regexp_replace(mixed, "[0-9]", "")), (number(64, 3) + 1).cast("int"))
+    short = F.element_at(F.array(F.concat(odd(65), number(66, 100).cast("string")), F.substring(mixed, 1, 8), F.substring(mixed, 1, 10), F.concat(pick(67, *DICTIONARY), (number(68, 900) + 100).cast("string"))), (number(69, 4) + 1).cast("int"))
+    phrases = F.element_at(F.array(phrase, F.concat_ws("-", odd(60), odd(70), odd(62)), F.concat_ws("_", odd(60), odd(62))), (number(71, 3) + 1).cast("int"))
+    flag = F.concat(pick(72, "Bearer ", "bearer ", "--password ", "--token ", "--api-key "), F.when(number(73, 2) == 0, random).otherwise(case))
+    bare = F.concat(F.lit("AKIA"), F.translate(upper, "23", "YZ"))
+    nothing = pick(74, "None", "null", "true", "false", "string", "String", "str", "required", "optional", "password", "token", "secret", "value", "xxxx", "changeme", "your_password", "your-token-here", "<password>", "self.password", "request.token", "user.secret", "get_token()", "os.environ", "config.secret", "the", "a", "is", "must", "not")
+    said = F.when(number(75, 2) == 0, pick(76, *DICTIONARY)).otherwise(nothing)
+    inside += [
+        (F.concat(key, glue, phrases, end), 1.0, None), (F.concat(key, glue, case, end), 1.0, None), (F.concat(key, glue, short, end), 1.0, None),
+        (flag, 1.0, None), (bare, 1.0, None), (F.concat(key, glue, said, end), 0.0, F.regexp_extract(said, "[A-Za-z_.-]+", 0)), (F.concat(key, glue, said, end), 0.0, F.regexp_extract(said, "[A-Za-z_.-]+", 0)),
+    ]
+    inside = [(made, is_secret, F.lit(None).cast("string") if meant is None else meant) for made, is_secret, meant in inside]
     kinds = [*[(made, is_secret, F.lit(None).cast("string")) for made, is_secret in kinds], *inside]
     kind = number(40, len(kinds))
     text, label, value = (F.when(kind == 0, x) for x in kinds[0])
@@ -179,15 +205,29 @@ def train(findings: DataFrame) -> RandomForestClassificationModel:
 def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, at, value, lead, tail, before, before2, after, path``: the runs of words that may be a secret, ``at`` the word's number from 0."""
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(path).alias("path") if path else F.lit("").alias("path"), text_or_empty("text").alias("text"))
-    words = pinned(given.where(F.col("text").rlike("[0-9]")), "w", F.split("text", r"[\x20\x09-\x0D]+", -1)).select("doc_id", "path", "w")
-    found = F.expr(f"filter(sequence(0, size(w) - 1), i -> length(w[i]) >= {LEAST_LENGTH} and w[i] rlike '[0-9]')")
+    # a text without any of the keys needs no look at what follows them
+    telling = F.lower("text").rlike(TELLING)
+    words = pinned(pinned(given, "telling", telling), "w", F.split("text", r"[\x20\x09-\x0D]+", -1)).select("doc_id", "path", "telling", "w")
+    at = F.sequence(F.lit(0), F.size("w") - 1)
+    word = lambda i: F.get("w", i)
+    tells = F.when(F.col("telling"), F.filter(at, lambda i: F.lower(word(i)).rlike(TELLING))).otherwise(F.array().cast("array<int>"))
+    # the value of a key is in its own word or in the next two
+    words = pinned(words, "follow", F.array_distinct(F.flatten(F.transform(tells, lambda i: F.array(i, i + 1, i + 2)))))
+    known = F.filter(at, lambda i: ((F.length(word(i)) >= LEAST_LENGTH) & word(i).rlike("[0-9]")) | word(i).rlike(KNOWN))
+    found = F.array_union(known, F.filter("follow", lambda i: i < F.size("w")))
     picked = pinned(words, "found", found).where(F.size("found") > 0)
     # only the words around each candidate leave the row
     around = F.transform("found", lambda i: F.struct(i.alias("at"), *[F.get("w", i + k).alias(name) for k, name in ((0, "word"), (-1, "before"), (-2, "before2"), (1, "after"))]))
     rows = picked.select("doc_id", "path", F.explode(around).alias("c")).select("doc_id", "path", "c.*")
     # only the runs themselves leave the word, which may be a whole minified file
-    values = F.filter(_values(F.col("pieces")), lambda v: F.length(v["value"]) >= LEAST_LENGTH)
-    rows = pinned(rows, "pieces", _pieces("word")).select("doc_id", "path", "at", "before", "before2", "after", F.explode(values).alias("v"))
+    rows = pinned(pinned(rows, "pieces", _pieces("word")), "digit", F.col("word").rlike("[0-9]"))
+
+    def wanted(v: Column) -> Column:
+        long = F.col("digit") & (F.length(v["value"]) >= LEAST_LENGTH)
+        return long | ((v["value"] != "") & (_head("before2", "before", v["lead"]).rlike(KEYED) | (_shape(v["value"], v["lead"], v["tail"]) > 0)))
+
+    values = F.filter(_values(F.col("pieces")), wanted)
+    rows = rows.select("doc_id", "path", "at", "before", "before2", "after", F.explode(values).alias("v"))
     return rows.select("doc_id", "path", "at", "before", "before2", "after", "v.*")
 
 
