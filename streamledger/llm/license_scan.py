@@ -109,7 +109,7 @@ osl-3.0 | 2 | osl | osl 3 0
 osl-3.0 | 3 | open | open software licen[sc]e( v(ersion)?)? ?3 0
 afl-3.0 | 2 | academic | academic free licen[sc]e
 ecl-2.0 | 2 | educational | educational community licen[sc]e
-qpl-1.0 | 2 | qpl | q public licen[sc]e
+qpl-1.0 | 2 | public | q public licen[sc]e
 sleepycat | 2 | sleepycat | sleepycat licen[sc]e
 beerware | 2 | beer | the beer ?ware licen[sc]e
 json | 3 | evil | the software shall be used for good not evil
@@ -123,7 +123,7 @@ lppl-1.3c | 2 | latex | latex project public licen[sc]e
 ogl-uk-3.0 | 3 | government | open government licen[sc]e v(ersion)? ?3( 0)?
 ogl-uk | 2 | government | open government licen[sc]e
 etalab-2.0 | 2 | etalab | etalab (2 0|open licen[sc]e)
-openrail | 3 | openrail | (creativeml )?open ?rail( m| plus plus m)?( licen[sc]e)?
+openrail | 3 | rail | (creativeml )?open ?rail( m| plus plus m)?( licen[sc]e)?
 llama-community | 2 | llama | llama( [0-9]+)* community licen[sc]e
 proprietary | 2 | proprietary | proprietary and confidential
 proprietary | 2 | unauthorized | unauthorized copying (of this file|via any medium)

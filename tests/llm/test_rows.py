@@ -101,6 +101,41 @@ def test_license_rules_have_their_keyword():
         assert re.compile(pattern) and " " not in keyword
 
 
+def samples(parsed):
+    """Matches of a parsed pattern: each branch and character of a set, each repeat as rarely and as often (twice at most) as it may be."""
+    out = [""]
+    for op, of in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            ways = [chr(of)]
+        elif name == "IN":
+            ways = [chr(x if str(kind) == "LITERAL" else x[0]) for kind, x in of]
+        elif name == "NOT_LITERAL":
+            ways = ["x"]
+        elif name == "BRANCH":
+            ways = [w for branch in of[1] for w in samples(branch)]
+        elif name == "SUBPATTERN":
+            ways = samples(of[3])
+        else:
+            assert name == "MAX_REPEAT"
+            ways = [w * n for n in sorted({of[0], min(of[1], max(of[0], 2))}) for w in samples(of[2])]
+        out = [a + b for a in out for b in ways]
+    return out
+
+
+def test_license_matches_hold_their_keyword():
+    for _, _, keyword, pattern in license_scan.rules():
+        for match in samples(re._parser.parse(pattern)):
+            assert re.fullmatch(pattern, match)
+            assert keyword in match, (keyword, pattern, match)
+
+
+def test_licenses_without_their_short_names(spark):
+    docs = spark.createDataFrame([(0, "under the Q Public License"), (1, "CreativeML Open RAIL-M"), (2, "creativeml openrail m license")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan(docs).collect()}
+    assert got == {0: ("qpl-1.0", 0.8), 1: ("openrail", 1.0), 2: ("openrail", 1.0)}
+
+
 # ---- archives
 
 
