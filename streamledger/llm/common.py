@@ -40,6 +40,15 @@ def stage(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a column ``name`` that numbers its rows as read, staged.
+
+    The numbers depend on how a scan is split, which two plans may do differently; what
+    needs them twice must read them from what was written once.
+    """
+    return stage(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def pinned(df: DataFrame, name: str, value: Column) -> DataFrame:
     """``df`` with a column that is computed once for each row.
 

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streamledger.llm.common import fresh, pinned, stage, text_or_empty
+from streamledger.llm.common import fresh, numbered, pinned, stage, text_or_empty
 
 THRESHOLD = 0.9
 #: Lines with fewer distinct words are left as they are.
@@ -34,15 +34,16 @@ DICTIONARY = 8 << 20
 BITMAP = 1 << 21
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """``row, doc_id, line_no, line``, in lower case, words parted by blanks only; ``row`` numbers the rows as read."""
+def _lines(docs: DataFrame, row: str | None) -> DataFrame:
+    """``row, doc_id, n_lines, line_no, line``, in lower case, words parted by blanks only; ``row`` is that column, or numbers the rows as read."""
     text = text_or_empty("text")
     # plain searches and a split at one character are much cheaper than regular expressions over every text
     other = [F.contains(text, F.lit(c)) for c in "\t\r\v\f"]
     text = F.when(other[0] | other[1] | other[2] | other[3], F.regexp_replace(text, r"[\t\r\x0B\f]", " ")).otherwise(text)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.split(text, "\n", -1).alias("parts"))
+    number, parts = F.col(row) if row else F.monotonically_increasing_id(), F.split(text, "\n", -1)
+    rows = docs.select(number.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.size(parts).alias("n_lines"), parts.alias("parts"))
     # in lower case line by line: over whole texts it takes three times as long
-    return rows.select("row", "doc_id", F.posexplode("parts").alias("line_no", "line")).withColumn("line", F.lower("line"))
+    return rows.select("row", "doc_id", "n_lines", F.posexplode("parts").alias("line_no", "line")).withColumn("line", F.lower("line"))
 
 
 def _words() -> Column:
@@ -82,18 +83,27 @@ def _enough(n: Column, m: Column, threshold: float) -> Column:
     return F.ceil((n + m) * (threshold / (1 + threshold)) - 1e-9)
 
 
-def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Lines that match an earlier one: ``row, doc_id, line_no``; ``row`` numbers the rows as read.
+def _sets(docs: DataFrame, least_words: int, row: str | None = None) -> DataFrame:
+    """``row, doc_id, n_lines, line_no, hashes``, staged: lines of enough distinct words, and the first line of every row."""
+    # each text is split into words once; what follows reads the hashes
+    sets = pinned(_lines(docs, row), "hashes", _words()).where((F.size("hashes") >= least_words) | (F.col("line_no") == 0))
+    # a dictionary page that holds a large vocabulary keeps the files at two or three bytes a word
+    return stage(sets.select("row", "doc_id", "n_lines", "line_no", "hashes"), "line-sets", {"parquet.dictionary.page.size": DICTIONARY})
+
+
+def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, row: str | None = None) -> DataFrame:
+    """Lines that match an earlier one: ``row, doc_id, line_no``; ``row`` is that column, or numbers the rows as read.
 
     Earlier is by doc_id (null first), then by row, then by line number. A line matches if
     its set of words has a Jaccard index of at least ``threshold`` with that of any earlier
     line. Lines of fewer than ``least_words`` distinct words, blank ones among them, match
     nothing. Null texts are one blank line. Rows that repeat match each other as any do.
     """
-    # each text is split into words once; what follows reads the hashes
-    sets = pinned(_lines(docs), "hashes", _words()).where(F.size("hashes") >= least_words)
-    # a dictionary page that holds a large vocabulary keeps the files at two or three bytes a word
-    sets = stage(sets.select("row", "doc_id", "line_no", "hashes"), "line-sets", {"parquet.dictionary.page.size": DICTIONARY})
+    return _repeated(_sets(docs, least_words, row), threshold, least_words)
+
+
+def _repeated(sets: DataFrame, threshold: float, least_words: int) -> DataFrame:
+    sets = sets.where(F.size("hashes") >= least_words).select("row", "doc_id", "line_no", "hashes")
     ordered = pinned(sets, "words", _ordered(_rarity(sets))).select("row", "doc_id", "line_no", "words")
 
     n = F.size("words")
@@ -187,8 +197,10 @@ def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, threshold: flo
 
 def counted(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, n_lines, n_removed, removed`` for each row; ``removed`` lists its line numbers, from 0, with commas."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.size(F.split(text_or_empty("text"), "\n", -1)).cast("long").alias("n_lines"))
-    gone = repeated_lines(docs, threshold).groupBy("row").agg(F.sort_array(F.collect_list("line_no")).alias("gone"))
+    # both sides read the numbers that were written with the lines
+    sets = _sets(docs, LEAST_WORDS)
+    rows = sets.where("line_no = 0").select("row", "doc_id", F.col("n_lines").cast("long").alias("n_lines"))
+    gone = _repeated(sets, threshold, LEAST_WORDS).groupBy("row").agg(F.sort_array(F.collect_list("line_no")).alias("gone"))
     out = rows.join(gone, "row", "left")
     n = F.coalesce(F.size("gone"), F.lit(0))
     return out.select("doc_id", "n_lines", F.greatest(n, F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit("")).alias("removed"))
@@ -201,8 +213,9 @@ def without_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     or none, stays as it is. ``n_chars``, where there is such a column, counts what is left.
     """
     own, of, lines = (fresh(docs, x) for x in ("own_row", "gone_row", "gone_lines"))
-    gone = repeated_lines(docs, threshold).groupBy(F.col("row").alias(of)).agg(F.collect_set("line_no").alias(lines))
-    joined = docs.withColumn(own, F.monotonically_increasing_id()).join(gone, F.col(own) == F.col(of), "left")
+    rows = numbered(docs, own)
+    gone = repeated_lines(rows, threshold, row=own).groupBy(F.col("row").alias(of)).agg(F.collect_set("line_no").alias(lines))
+    joined = rows.join(gone, F.col(own) == F.col(of), "left")
     kept = F.filter(F.split(text_or_empty("text"), "\n", -1), lambda x, k: ~F.array_contains(F.col(lines), k))
     rest = joined.withColumn("text", F.when(F.col(of).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
     rest = rest.where(F.col(of).isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))

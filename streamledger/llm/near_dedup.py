@@ -30,6 +30,7 @@ from streamledger.llm.common import (
     fresh,
     lists,
     mix,
+    numbered,
     raw_bytes,
     shingles,
     spread,
@@ -192,9 +193,9 @@ def _compare(percent: int):
     return run
 
 
-def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``row, doc_id, n_shingles, first``; ``first(none, doc_id, row)`` is the first row of the component, by id (null last) and row."""
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
+def _grouped(docs: DataFrame, row: str, width: int, percent: int) -> DataFrame:
+    """``docs``, staged with their numbers in the column ``row``, to ``row, doc_id, n_shingles, first``; ``first(none, doc_id, row)`` is the first row of the component, by id (null last) and row."""
+    source = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
     rows = stage(source.mapInArrow(_sketch(width), "row long, doc_id long, n_shingles long, d1 long, d2 long, signature binary"), "sketches")
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     classes = rows.where("n_shingles > 0").groupBy("d1", "d2").agg(
@@ -237,13 +238,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     its text; its component is the smallest id in it, null if no member has one, and it is
     kept only then. Other columns are ignored, whatever their names.
     """
-    out = _grouped(docs, width, percent).select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"))
+    out = _grouped(numbered(docs.select("doc_id", "text"), "row"), "row", width, percent).select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The first row of each component, with the columns of ``docs``: by smallest id, then in the order read."""
     own, kept = fresh(docs, "own_row"), fresh(docs, "kept_row")
-    first = _grouped(docs, width, percent).where(F.col("row") == F.col("first.row")).select(F.col("row").alias(kept))
-    numbered = docs.withColumn(own, F.monotonically_increasing_id())
-    return numbered.join(first, F.col(own) == F.col(kept), "left_semi").select(*docs.columns)
+    rows = numbered(docs, own)
+    first = _grouped(rows, own, width, percent).where(F.col("row") == F.col("first.row")).select(F.col("row").alias(kept))
+    return rows.join(first, F.col(own) == F.col(kept), "left_semi").select(*docs.columns)

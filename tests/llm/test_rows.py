@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from streamledger.llm import chat_format, knn, license_scan, mixing, queries, secret_scan, toxicity, warc
+from streamledger.llm import chat_format, common, knn, license_scan, line_dedup, mixing, near_dedup, queries, secret_scan, toxicity, warc
 
 
 # ---- chats
@@ -136,6 +136,40 @@ def test_licenses_without_their_short_names(spark):
     assert got == {0: ("qpl-1.0", 0.8), 1: ("openrail", 1.0), 2: ("openrail", 1.0)}
 
 
+# ---- row numbers
+
+
+def test_rows_are_numbered_once(spark, tmp_path, monkeypatch):
+    docs = [(i, f"own words of number {i} " + " ".join(f"w{i}x{k}" for k in range(i + 20)) + "\nthe line that all of them share", "web") for i in range(24)]
+    docs += [(100 + i, docs[i][1], "web") for i in range(0, 24, 3)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(12, "doc_id").write.parquet(str(tmp_path / "docs"))
+    read = lambda: spark.read.parquet(str(tmp_path / "docs"))
+    run = {
+        "lines": lambda: {tuple(r) for r in line_dedup.without_repeated_lines(read()).collect()},
+        "counts": lambda: {tuple(r) for r in line_dedup.counted(read()).collect()},
+        "near": lambda: {tuple(r) for r in near_dedup.one_of_each(read()).collect()},
+        "mixed": lambda: {tuple(r) for r in mixing.mixed(read()).collect()},
+    }
+    expected = {k: f() for k, f in run.items()}
+    assert {r[0] for r in expected["near"]} == set(range(24)) and len(expected["lines"]) == 24
+    given, name = common.stage, "spark.sql.files.maxPartitionBytes"
+
+    def stage(*args):
+        # as if cores came or went after each plan: the next scan is split another way
+        out = given(*args)
+        spark.conf.set(name, "20000" if spark.conf.get(name) != "20000" else "128m")
+        return out
+
+    for module in (common, line_dedup, near_dedup, mixing):
+        monkeypatch.setattr(module, "stage", stage)
+    try:
+        for k, f in run.items():
+            spark.conf.unset(name)
+            assert f() == expected[k], k
+    finally:
+        spark.conf.unset(name)
+
+
 # ---- archives
 
 
