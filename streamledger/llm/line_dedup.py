@@ -1,11 +1,13 @@
 """Line dedup by an exact set-similarity join, with DataFrame operations only.
 
-Lines are sets of words in lower case. Words are ordered by rarity, by counts over
-all lines in a sketch of ``SLOTS`` counters, and then by hash: any order gives the
-same result, a rare-first one gives short lists. For two sets with a Jaccard index of
+Lines are sets of words in lower case. Words are counted over all lines and ordered by
+rarity, then by hash; a word that only one line holds comes first of all. The counts are
+kept in a table of fixed size at most, as the largest count of each slot: any order gives
+the same result, a rare-first one gives short lists. For two sets with a Jaccard index of
 at least ``THRESHOLD`` the first words of both must meet (prefix filter; the smaller
 set needs the shorter prefix), at places that leave enough words after them
-(positional filter), and neither may be much larger (length filter).
+(positional filter), and neither may be much larger (length filter). Words that no other
+line holds are not looked up, and a set whose first words are all of that kind has no match.
 
 Sets that meet are not listed pair by pair: each set's first words are looked up in
 lists of at most about ``LIST`` sets, split by a hash when a word is more common, and
@@ -24,14 +26,17 @@ from pyspark.sql import functions as F
 from streamledger.llm.common import fresh, numbered, pinned, stage, text_or_empty
 
 THRESHOLD = 0.9
-#: Lines with fewer distinct words are left as they are.
-LEAST_WORDS = 3
-SLOTS = 1 << 16
+#: Lines with fewer distinct words are left as they are: none but blank ones.
+LEAST_WORDS = 1
+#: The table of counts has two to four slots for each word that more than one line holds, within these bounds; it comes in so many rows.
+LEAST_SLOTS, MOST_SLOTS, CHUNKS = 1 << 16, 1 << 25, 1 << 10
 LIST = 256
 #: Bytes of a dictionary page in the files that keep the lines' words.
 DICTIONARY = 8 << 20
-#: Bits of the bitmap by which a scan passes over lines that are not candidates.
-BITMAP = 1 << 21
+#: Most bits of the bitmap by which a scan passes over lines that are not candidates.
+BITMAP = 1 << 24
+#: Late sets of one early set that are verified together.
+TOGETHER = 1024
 
 
 def _lines(docs: DataFrame, row: str | None) -> DataFrame:
@@ -51,27 +56,40 @@ def _words() -> Column:
     return F.array_remove(F.array_distinct(F.transform(F.split("line", " ", -1), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def _rarity(lines: DataFrame) -> Column:
-    """An array of how common each counter's words are, in quarters of a doubling."""
-    words = lines.select(F.explode("hashes").alias("w"))
-    counts = words.groupBy(F.col("w").bitwiseAND(SLOTS - 1).cast("int").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    every = counts.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("every"))
-    level = F.expr("coalesce(cast(least(126, floor(4 * log2(n))) as int), 0)")
-    filled = every.join(counts, F.col("every") == F.col("slot"), "left").select("every", level.alias("v"))
-    # one row of fixed size
-    row = filled.agg(F.sort_array(F.collect_list(F.struct("every", "v"))).alias("a")).select(F.array_join(F.transform("a", lambda x: x["v"]), ",").alias("s"))
-    return F.from_json(F.lit(f"[{row.first()['s']}]"), "array<int>")
+def _rarity(lines: DataFrame) -> tuple[DataFrame, int]:
+    """How common the words of each slot are, and the number of slots: one row ``levels``, a byte for each.
 
-
-def _ordered(levels: Column) -> Column:
-    """Words as longs that sort by rarity: the level above 56 bits of the hash."""
+    The level of a slot is 0 if no two lines share a word of it, else that of its most
+    common word: thirds of a doubling, up to 127.
+    """
+    counts = lines.select(F.explode("hashes").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    level = F.least(F.lit(127), F.floor(3 * F.log2("n"))).cast("int")
+    common = stage(counts.select("w", level.alias("level")), "common-words")
+    slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (2 * common.count()).bit_length()))
+    wide = (slots // CHUNKS).bit_length() - 1
+    slot = F.col("w").bitwiseAND(slots - 1).cast("int")
+    # a slot's place in its chunk above 8 bits of its level: sorted, the last of a place has the largest
+    known = common.select(F.shiftright(slot, wide).alias("chunk"), (F.shiftleft(slot.bitwiseAND((1 << wide) - 1), 8) + F.col("level")).alias("x"))
+    every = lines.sparkSession.range(slots).select(F.shiftright("id", wide).cast("int").alias("chunk"), F.shiftleft(F.col("id").bitwiseAND((1 << wide) - 1), 8).cast("int").alias("x"))
+    chunks = known.unionByName(every).groupBy("chunk").agg(F.sort_array(F.collect_list("x")).alias("a"))
+    last = F.filter("a", lambda x, i: F.coalesce(F.shiftright(F.get("a", i + 1), 8) > F.shiftright(x, 8), F.lit(True)))
+    chunks = chunks.select("chunk", F.transform(last, lambda x: x.bitwiseAND(255).cast("tinyint")).alias("levels"))
+    # one row of bounded size
+    return stage(chunks.agg(F.sort_array(F.collect_list(F.struct("chunk", "levels"))).alias("a")).select(F.flatten("a.levels").alias("levels")), "rarity"), slots
+
+
+def _ordered(sets: DataFrame) -> DataFrame:
+    """``row, doc_id, line_no, words``: words as longs that sort by rarity, the level above 56 bits of the hash."""
+    table, slots = _rarity(sets)
 
     def key(w: Column) -> Column:
         # never null, which lets the sort work on plain longs
-        level = F.coalesce(levels[w.bitwiseAND(SLOTS - 1).cast("int")], F.lit(0)).cast("long")
-        return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(w, 8))
+        level = F.coalesce(F.get("levels", w.bitwiseAND(slots - 1).cast("int")), F.lit(0).cast("tinyint"))
+        return F.shiftleft(level.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(w, 8))
 
-    return F.sort_array(F.transform("hashes", key))
+    # the optimizer makes one projection of both, so the table is no column of any row
+    rows = sets.select("row", "doc_id", "line_no", "hashes", table.scalar().alias("levels"))
+    return rows.select("row", "doc_id", "line_no", F.sort_array(F.transform("hashes", key)).alias("words"))
 
 
 def _prefix(n: Column, overlap: Column) -> Column:
@@ -92,107 +110,138 @@ def _sets(docs: DataFrame, least_words: int, row: str | None = None) -> DataFram
 
 
 def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, row: str | None = None) -> DataFrame:
-    """Lines that match an earlier one: ``row, doc_id, line_no``; ``row`` is that column, or numbers the rows as read.
+    """Lines that match an earlier one: ``row, line_no``; ``row`` is that column, or numbers the rows as read.
 
     Earlier is by doc_id (null first), then by row, then by line number. A line matches if
     its set of words has a Jaccard index of at least ``threshold`` with that of any earlier
-    line. Lines of fewer than ``least_words`` distinct words, blank ones among them, match
-    nothing. Null texts are one blank line. Rows that repeat match each other as any do.
+    line. Lines of fewer than ``least_words`` distinct words match nothing, blank ones
+    never do. Null texts are one blank line. Rows that repeat match each other as any do.
     """
     return _repeated(_sets(docs, least_words, row), threshold, least_words)
 
 
 def _repeated(sets: DataFrame, threshold: float, least_words: int) -> DataFrame:
-    sets = sets.where(F.size("hashes") >= least_words).select("row", "doc_id", "line_no", "hashes")
-    ordered = pinned(sets, "words", _ordered(_rarity(sets))).select("row", "doc_id", "line_no", "words")
-
+    sets = sets.where(F.size("hashes") >= max(1, least_words)).select("row", "doc_id", "line_no", "hashes")
     n = F.size("words")
+    first = pinned(_ordered(sets), "prefix", F.filter(F.slice("words", F.lit(1), _prefix(n, n * threshold)), lambda w: w >= 1 << 56))
+    # a set with a word of its own equals no other; without a word to look up it matches none
+    own = F.element_at("words", 1) < 1 << 56
     bits = F.expr("aggregate(words, 0L, (a, w) -> a ^ shiftleft(1L, cast(w & 63 as int)))")
     lines = stage(
-        ordered.select(
-            "row", "doc_id", "line_no", n.alias("n"), F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"),
-            F.slice("words", F.lit(1), _prefix(n, n * threshold)).alias("prefix"), bits.alias("bits"),
+        first.where(F.size("prefix") > 0).select(
+            "row", "doc_id", "line_no", n.alias("n"), own.alias("own"), F.when(~own, F.xxhash64("words")).alias("k1"), F.when(~own, F.xxhash64(F.lit(1), "words")).alias("k2"),
+            (_prefix(n, n * threshold) - F.size("prefix")).alias("skipped"), "prefix", bits.alias("bits"),
         ),
         "lines",
     )
     # one representative for each set of words: its first line
-    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "row", "line_no")
-    reps = lines.groupBy("k1", "k2").agg(F.min(place).alias("place"), *[F.first(c).alias(c) for c in ("n", "prefix", "bits")])
-    # numbered in order of place, so that earlier is smaller
-    reps = reps.repartitionByRange("place").sortWithinPartitions("place")
-    reps = stage(reps.withColumn("node", F.monotonically_increasing_id()), "representatives")
-    later = _later(reps, sets, threshold).withColumn("later", F.lit(True))
-    decided = reps.select("k1", "k2", "place", "node").join(later, "node", "left").select("k1", "k2", "place", "later")
-    marked = lines.select("row", "doc_id", "line_no", "k1", "k2").join(decided, ["k1", "k2"])
-    first = (F.col("row") == F.col("place.row")) & (F.col("line_no") == F.col("place.line_no"))
-    return marked.where(~first | F.coalesce("later", F.lit(False))).select("row", "doc_id", "line_no")
-
-
-def _later(reps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """``node`` of the representatives that match an earlier one."""
-    n, i = F.col("n"), F.col("i")
+    kept = ("n", "skipped", "prefix", "bits")
+    groups = lines.where("not own").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "row", "line_no")).alias("place"), F.count(F.lit(1)).alias("size"), *[F.first(c).alias(c) for c in kept])
+    groups = stage(groups, "groups")
+    single = lines.where("own").select(F.struct("doc_id", "row", "line_no").alias("place"), *kept)
+    reps = groups.select("place", *kept).unionByName(single)
+    later = stage(_later(reps, sets, threshold), "later")
+    # later lines of a group go whatever its first line matches
+    marked = lines.where("not own").select("row", "line_no", "k1", "k2").join(groups.where("size > 1").select("k1", "k2", "place"), ["k1", "k2"])
+    others = marked.where((F.col("row") != F.col("place.row")) | (F.col("line_no") != F.col("place.line_no"))).select("row", "line_no")
+    return others.unionByName(later.select("late.row", "late.line_no"))
+
+
+def _found(entries: Column, of: dict[str, Column], threshold: float) -> Column:
+    """Places of the ``entries`` that fit the set ``of(n, i, bits, most, place)``: earlier ones that can match it, as far as one word and the bitmaps tell."""
+    n, i = of["n"], of["i"]
     short = lambda m: _prefix(m, m * (2 * threshold / (1 + threshold)))
-    probe = reps.select("node", "n", "bits", F.posexplode("prefix").alias("i", "word"))
-    # the sizes of sets that can match one of n words, and the classes of these sizes; a word behind the short prefix meets no larger set
-    beyond = i >= short(n)
-    high = F.when(beyond, n).otherwise(F.floor((n + 1e-9) / threshold).cast("int"))
-    bounds = {"beyond": beyond, "low": F.ceil(n * threshold - 1e-9).cast("int"), "high": high}
-    size_class = lambda m: F.floor(F.log(m) / -math.log(threshold)).cast("int")
-    classes = {"low_class": size_class(F.col("low")), "own_class": size_class(n), "high_class": size_class(F.col("high"))}
-    # as many words as may differ, for the largest set
-    most = {"most": F.floor((n + F.col("high")) * ((1 - threshold) / (1 + threshold)) + 1e-6).cast("int")}
-    sizes = probe.groupBy("word").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("word", F.ceil(F.col("size") / LIST).cast("int").alias("parts"))
-    entry = F.struct(F.col("n").alias("m"), F.col("i").alias("j"), F.col("bits").alias("others"), F.col("node").alias("other"))
-    lists = (
-        probe.join(sizes, "word")
-        .groupBy("word", size_class(n).alias("size_class"), (i >= short(n)).alias("far"), F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
-        .agg(F.collect_list(entry).alias("entries"))
-        .select(F.col("word").alias("of"), "size_class", "far", "entries")
-    )
 
     def fits(e: Column) -> Column:
-        m, j = e["m"], e["j"]
+        m, j = e["n"], e["i"]
         # the cheapest test that most fail comes first; the bounds of the bitmap are rounded up, the others are exact
-        differ = F.bit_count(F.col("bits").bitwiseXOR(e["others"])) <= F.col("most")
-        alike = (m >= F.col("low")) & (m <= F.col("high"))
+        differ = F.bit_count(of["bits"].bitwiseXOR(e["bits"])) <= of["most"]
+        alike = F.least(n, m) >= F.greatest(n, m) * threshold - 1e-9
         # the smaller set's word must be in its short prefix
         meets = F.when(m <= n, j < short(m)).otherwise(i < short(n))
         left = 1 + F.least(n - i - 1, m - j - 1)
-        return differ & (e["other"] < F.col("node")) & alike & meets & (left >= _enough(n, m, threshold))
-
-    # words behind the short prefix of a set are met by those within the short prefix of a smaller set only
-    sizes_meet = F.col("size_class").between(F.col("low_class"), F.col("high_class"))
-    sides_meet = ~F.col("far") | (~F.col("beyond") & (F.col("size_class") >= F.col("own_class")))
-    met = probe.withColumns(bounds).withColumns(classes).withColumns(most).join(lists, (F.col("word") == F.col("of")) & sizes_meet & sides_meet)
-    found = pinned(met, "found", F.filter("entries", fits)).where(F.size("found") > 0)
-    found = stage(found.select("node", F.col("found.other").alias("found")), "found")
-    tried = stage(found.select(F.col("node").alias("late"), F.array_min("found").alias("early")).distinct(), "candidates")
-    held = stage(_verified(tried, reps, sets, threshold), "held")
-    # where no candidate held, all fits are listed
-    unsure = tried.select("late").distinct().join(held, F.col("late") == F.col("node"), "left_anti")
-    rest = found.join(unsure, F.col("node") == F.col("late"), "left_semi").select(F.col("node").alias("late"), F.explode("found").alias("early")).distinct()
-    rest = stage(rest.join(tried, ["late", "early"], "left_anti"), "rest")
-    if rest.isEmpty():
+        return differ & (e["place"] < of["place"]) & alike & meets & (left >= _enough(n, m, threshold))
+
+    return F.transform(F.filter(entries, fits), lambda e: e["place"])
+
+
+def _later(reps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """``late(row, line_no)`` of the representatives that match an earlier one."""
+    n = F.col("n")
+    # as many words as may differ, for the largest set that can match
+    most = F.floor((n + F.floor((n + 1e-9) / threshold)) * ((1 - threshold) / (1 + threshold)) + 1e-6).cast("int")
+    probe = reps.select("place", "n", "bits", most.alias("most"), "skipped", F.posexplode("prefix").alias("k", "word"))
+    entry = F.struct("n", (F.col("skipped") + F.col("k")).alias("i"), "bits", "most", "place")
+    probe = probe.select("word", entry.alias("e"))
+    # the level of a word's slot bounds how many lines hold it
+    light = F.shiftright("word", 56) < math.floor(3 * math.log2(LIST))
+    lists = probe.where(light).groupBy("word").agg(F.collect_list("e").alias("entries")).where(F.size("entries") > 1)
+    own = lambda e: {k: e[k] for k in ("n", "i", "bits", "most", "place")}
+    each = F.transform("entries", lambda e: F.struct(e["place"].alias("place"), _found(F.col("entries"), own(e), threshold).alias("found")))
+    found = lists.select(F.explode(F.filter(each, lambda x: F.size(x["found"]) > 0)).alias("x")).select("x.*")
+
+    # lists of the others are split by a hash; a set meets one part first, the rest only if nothing in it holds
+    heavy = stage(probe.where(~light), "heavy")
+    sizes = heavy.groupBy("word").agg(F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("parts"))
+    parted = heavy.join(sizes, "word").groupBy("word", F.pmod(F.xxhash64("e.place"), F.col("parts")).alias("part")).agg(F.collect_list("e").alias("entries"))
+    parted = stage(parted, "lists")
+
+    def met(probes: DataFrame, lists: DataFrame) -> DataFrame:
+        both = pinned(probes.join(lists, "word"), "found", _found(F.col("entries"), own(F.col("e")), threshold))
+        return both.select(F.col("e.place").alias("place"), "found").where(F.size("found") > 0)
+
+    found = stage(found.unionByName(met(heavy, parted.where("part = 0"))), "found")
+    tried = stage(_earliest(found), "candidates")
+    held = _verified(tried, sets, threshold)
+    # where no candidate held, all fits are listed, and the other parts are met
+    pairs = _listed(found, held).join(tried, ["late", "early"], "left_anti")
+    others = parted.where("part > 0")
+    more = None
+    if not others.isEmpty():
+        more = stage(met(heavy.join(held, _at(F.col("e.place")) == F.col("late"), "left_anti"), others), "found")
+        pairs = pairs.unionByName(_earliest(more)).distinct()
+    pairs = stage(pairs, "candidates")
+    if pairs.isEmpty():
+        return held
+    held = stage(held.unionByName(_verified(pairs, sets, threshold)), "held")
+    if more is None:
         return held
-    return held.unionByName(_verified(rest, reps, sets, threshold))
+    pairs = stage(_listed(more, held).join(pairs, ["late", "early"], "left_anti"), "candidates")
+    return held if pairs.isEmpty() else held.unionByName(_verified(pairs, sets, threshold))
+
+
+def _at(place: Column) -> Column:
+    return F.struct(place["row"].alias("row"), place["line_no"].alias("line_no"))
+
+
+def _earliest(found: DataFrame) -> DataFrame:
+    """``late, early``: of each list the earliest place."""
+    return found.select(_at(F.col("place")).alias("late"), _at(F.array_min("found")).alias("early")).distinct()
+
+
+def _listed(found: DataFrame, held: DataFrame) -> DataFrame:
+    """``late, early``: all places found for sets that are not ``held`` yet."""
+    rest = found.withColumn("late", _at(F.col("place"))).join(held, "late", "left_anti")
+    return rest.select("late", F.explode("found").alias("p")).select("late", _at(F.col("p")).alias("early")).distinct()
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """``node`` of the later sets of ``pairs(late, early)`` that hold on the full sets."""
-    nodes = pairs.select(F.col("late").alias("node")).unionByName(pairs.select(F.col("early").alias("node"))).distinct()
-    wanted = stage(reps.join(nodes, "node").select("node", F.col("place.row").alias("at_row"), F.col("place.line_no").alias("at_line")), "wanted")
-    # a bitmap of fixed size, sent to every task, lets most other lines fall out before the join; a full one lets all pass
-    place = lambda row, line: F.pmod(F.xxhash64(row, line), F.lit(BITMAP)).cast("int")
-    bit = place("at_row", "at_line")
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """``late`` of those ``pairs(late, early)`` of places ``(row, line_no)`` that hold on the full sets."""
+    wanted = stage(pairs.select(F.col("late").alias("node")).unionByName(pairs.select(F.col("early").alias("node"))).distinct(), "wanted")
+    # a bitmap of bounded size, sent to every task, lets most other lines fall out before the join; a full one lets all pass
+    size = min(BITMAP, max(1 << 12, 1 << (16 * wanted.count()).bit_length()))
+    bit = F.pmod(F.xxhash64("node.row", "node.line_no"), F.lit(size)).cast("int")
     bitmap = wanted.groupBy(F.shiftright(bit, 6).alias("slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63))).alias("set_bits"))
-    likely = sets.withColumn("bit", place("row", "line_no")).join(F.broadcast(bitmap), F.shiftright("bit", 6) == F.col("slot"))
+    likely = sets.withColumn("bit", F.pmod(F.xxhash64("row", "line_no"), F.lit(size)).cast("int")).join(F.broadcast(bitmap), F.shiftright("bit", 6) == F.col("slot"))
     likely = likely.where(F.call_function("shiftright", F.col("set_bits"), F.col("bit").bitwiseAND(63)).bitwiseAND(1) != 0)
-    full = likely.join(wanted, (F.col("row") == F.col("at_row")) & (F.col("line_no") == F.col("at_line"))).select("node", F.col("hashes").alias("words"))
-    full = stage(full, "sets")
-    late, early = (full.select(F.col("node").alias(k), F.col("words").alias(w)) for k, w in (("late", "a"), ("early", "b")))
+    full = stage(likely.select(F.struct("row", "line_no").alias("node"), F.col("hashes").alias("words")).join(wanted, "node"), "sets")
+    # an early set that many late ones are tried with is read once for every so many of them
+    many = pairs.groupBy("early").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("parts"))
+    early = full.select(F.col("node").alias("early"), F.col("words").alias("b")).join(many, "early").select("early", "b", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    late = pairs.join(many, "early").withColumn("part", F.pmod(F.xxhash64("late"), F.col("parts")).cast("int")).drop("parts").join(full.select(F.col("node").alias("late"), F.col("words").alias("a")), "late")
     common = F.size(F.array_intersect("a", "b"))
-    both = pairs.join(early, "early").join(late, "late")
-    return both.where(common >= (F.size("a") + F.size("b") - common) * threshold - 1e-9).select(F.col("late").alias("node")).distinct()
+    both = late.join(early, ["early", "part"])
+    return stage(both.where(common >= (F.size("a") + F.size("b") - common) * threshold - 1e-9).select("late").distinct(), "held")
 
 
 def counted(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

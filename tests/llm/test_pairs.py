@@ -115,7 +115,7 @@ def test_components_of_chains_and_circles(spark):
     assert got == {i: 0 for i in range(31)} | {40: 40, 41: 40, 42: 40}
 
 
-def later_lines(rows, threshold=0.9, least=3):
+def later_lines(rows, threshold=0.9, least=1):
     seen, gone = [], set()
     for k, r in sorted(enumerate(rows), key=lambda x: (x[1]["doc_id"] is not None, x[1]["doc_id"] or 0, x[0])):
         for n, line in enumerate((r["text"] or "").split("\n")):
