@@ -11,8 +11,8 @@ line holds are not looked up, and a set whose first words are all of that kind h
 
 Sets that meet are not listed pair by pair: each set's first words are looked up in
 lists of at most about ``LIST`` sets, split by a hash when a word is more common, and
-of a list only the earliest set that fits is tried, after a bitmap of both has
-shown that few enough words differ. These candidates are verified on the full sets.
+of a list only the earliest set that fits is tried, after a bitmap of the rare words of
+both has shown that few enough of them differ. These candidates are verified on the full sets.
 Where none held, all fits of that set are listed and verified, so nothing is lost.
 """
 
@@ -31,6 +31,8 @@ LEAST_WORDS = 1
 #: The table of counts has two to four slots for each word that more than one line holds, within these bounds; it comes in so many rows.
 LEAST_SLOTS, MOST_SLOTS, CHUNKS = 1 << 16, 1 << 25, 1 << 10
 LIST = 256
+#: The share of all words in lines that counts as rare: about two and a half times what the prefixes need.
+RARE = 0.25
 #: Bytes of a dictionary page in the files that keep the lines' words.
 DICTIONARY = 8 << 20
 #: Most bits of the bitmap by which a scan passes over lines that are not candidates.
@@ -56,15 +58,21 @@ def _words() -> Column:
     return F.array_remove(F.array_distinct(F.transform(F.split("line", " ", -1), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def _rarity(lines: DataFrame) -> tuple[DataFrame, int]:
-    """How common the words of each slot are, and the number of slots: one row ``levels``, a byte for each.
+def _rarity(lines: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """How common the words of each slot are: one row ``levels`` and one row ``rare``, both with a value for each slot, and the number of slots.
 
     The level of a slot is 0 if no two lines share a word of it, else that of its most
-    common word: thirds of a doubling, up to 127.
+    common word: thirds of a doubling, up to 127. ``rare`` tells the levels that hold
+    the rarest ``RARE`` of all words that lines share, and all below.
     """
     counts = lines.select(F.explode("hashes").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     level = F.least(F.lit(127), F.floor(3 * F.log2("n"))).cast("int")
-    common = stage(counts.select("w", level.alias("level")), "common-words")
+    common = stage(counts.select("w", "n", level.alias("level")), "common-words")
+    # at most 128 rows
+    by_level, seen, limit = sorted(common.groupBy("level").agg(F.sum("n").alias("n")).collect()), 0, 0
+    for r in by_level:
+        if seen < RARE * sum(x["n"] for x in by_level):
+            seen, limit = seen + r["n"], r["level"]
     slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (2 * common.count()).bit_length()))
     wide = (slots // CHUNKS).bit_length() - 1
     slot = F.col("w").bitwiseAND(slots - 1).cast("int")
@@ -75,21 +83,33 @@ def _rarity(lines: DataFrame) -> tuple[DataFrame, int]:
     last = F.filter("a", lambda x, i: F.coalesce(F.shiftright(F.get("a", i + 1), 8) > F.shiftright(x, 8), F.lit(True)))
     chunks = chunks.select("chunk", F.transform(last, lambda x: x.bitwiseAND(255).cast("tinyint")).alias("levels"))
     # one row of bounded size
-    return stage(chunks.agg(F.sort_array(F.collect_list(F.struct("chunk", "levels"))).alias("a")).select(F.flatten("a.levels").alias("levels")), "rarity"), slots
+    row = chunks.agg(F.sort_array(F.collect_list(F.struct("chunk", "levels"))).alias("a")).select(F.flatten("a.levels").alias("levels"))
+    levels = stage(row, "rarity")
+    return levels, stage(levels.select(F.transform("levels", lambda x: x <= limit).alias("rare")), "rarity"), slots
 
 
-def _ordered(sets: DataFrame) -> DataFrame:
-    """``row, doc_id, line_no, words``: words as longs that sort by rarity, the level above 56 bits of the hash."""
-    table, slots = _rarity(sets)
+def _ordered(sets: DataFrame, threshold: float) -> DataFrame:
+    """``row, doc_id, line_no, k1, k2, n, few, head``: the first words of each set, as longs that sort by rarity, the level above 56 bits of the hash.
+
+    ``few`` are its rare words. They come before all others, so where they are enough the others need no look.
+    """
+    levels, rare, slots = _rarity(sets)
+    slot = lambda w: w.bitwiseAND(slots - 1)
 
     def key(w: Column) -> Column:
         # never null, which lets the sort work on plain longs
-        level = F.coalesce(F.get("levels", w.bitwiseAND(slots - 1).cast("int")), F.lit(0).cast("tinyint"))
+        level = F.coalesce(F.col("levels")[slot(w)], F.lit(0).cast("tinyint"))
         return F.shiftleft(level.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(w, 8))
 
-    # the optimizer makes one projection of both, so the table is no column of any row
-    rows = sets.select("row", "doc_id", "line_no", "hashes", table.scalar().alias("levels"))
-    return rows.select("row", "doc_id", "line_no", F.sort_array(F.transform("hashes", key)).alias("words"))
+    # the optimizer makes one projection of each pair, so the tables are no columns of any row
+    kept = ("row", "doc_id", "line_no", "k1", "k2")
+    rows = sets.select(*kept, "hashes", rare.scalar().alias("rare"))
+    rows = rows.select(*kept, "hashes", F.filter("hashes", lambda w: F.col("rare")[slot(w)]).alias("few"))
+    first = _prefix(F.col("n"), F.col("n") * threshold)
+    # between the pairs stands a generator, which keeps them apart
+    rows = pinned(rows, "n", F.size("hashes")).select(*kept, "n", "hashes", "few", levels.scalar().alias("levels"))
+    enough = F.when(F.size("few") >= first, F.col("few")).otherwise(F.col("hashes"))
+    return rows.select(*kept, "n", "few", F.slice(F.sort_array(F.transform(enough, key)), F.lit(1), first).alias("head"))
 
 
 def _prefix(n: Column, overlap: Column) -> Column:
@@ -102,11 +122,11 @@ def _enough(n: Column, m: Column, threshold: float) -> Column:
 
 
 def _sets(docs: DataFrame, least_words: int, row: str | None = None) -> DataFrame:
-    """``row, doc_id, n_lines, line_no, hashes``, staged: lines of enough distinct words, and the first line of every row."""
+    """``row, doc_id, n_lines, line_no, k1, k2, hashes``, staged: lines of enough distinct words, and the first line of every row."""
     # each text is split into words once; what follows reads the hashes
     sets = pinned(_lines(docs, row), "hashes", _words()).where((F.size("hashes") >= least_words) | (F.col("line_no") == 0))
     # a dictionary page that holds a large vocabulary keeps the files at two or three bytes a word
-    return stage(sets.select("row", "doc_id", "n_lines", "line_no", "hashes"), "line-sets", {"parquet.dictionary.page.size": DICTIONARY})
+    return stage(sets.select("row", "doc_id", "n_lines", "line_no", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), "hashes"), "line-sets", {"parquet.dictionary.page.size": DICTIONARY})
 
 
 def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, row: str | None = None) -> DataFrame:
@@ -121,20 +141,19 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: i
 
 
 def _repeated(sets: DataFrame, threshold: float, least_words: int) -> DataFrame:
-    sets = sets.where(F.size("hashes") >= max(1, least_words)).select("row", "doc_id", "line_no", "hashes")
-    n = F.size("words")
-    first = pinned(_ordered(sets), "prefix", F.filter(F.slice("words", F.lit(1), _prefix(n, n * threshold)), lambda w: w >= 1 << 56))
+    sets = sets.where(F.size("hashes") >= max(1, least_words)).select("row", "doc_id", "line_no", "k1", "k2", "hashes")
+    first = pinned(_ordered(sets, threshold), "prefix", F.filter("head", lambda w: w >= 1 << 56))
     # a set with a word of its own equals no other; without a word to look up it matches none
-    own = F.element_at("words", 1) < 1 << 56
-    bits = F.expr("aggregate(words, 0L, (a, w) -> a ^ shiftleft(1L, cast(w & 63 as int)))")
+    own = F.element_at("head", 1) < 1 << 56
+    bits = F.expr("aggregate(few, 0L, (a, w) -> a ^ shiftleft(1L, cast(w & 63 as int)))")
     lines = stage(
         first.where(F.size("prefix") > 0).select(
-            "row", "doc_id", "line_no", n.alias("n"), own.alias("own"), F.when(~own, F.xxhash64("words")).alias("k1"), F.when(~own, F.xxhash64(F.lit(1), "words")).alias("k2"),
-            (_prefix(n, n * threshold) - F.size("prefix")).alias("skipped"), "prefix", bits.alias("bits"),
+            "row", "doc_id", "line_no", "n", own.alias("own"), F.when(~own, F.col("k1")).alias("k1"), F.when(~own, F.col("k2")).alias("k2"),
+            (F.size("head") - F.size("prefix")).alias("skipped"), "prefix", bits.alias("bits"),
         ),
         "lines",
     )
-    # one representative for each set of words: its first line
+    # one representative for each line's text: the first such line
     kept = ("n", "skipped", "prefix", "bits")
     groups = lines.where("not own").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "row", "line_no")).alias("place"), F.count(F.lit(1)).alias("size"), *[F.first(c).alias(c) for c in kept])
     groups = stage(groups, "groups")
