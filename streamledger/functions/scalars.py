@@ -37,7 +37,8 @@ def nearly(a: Column, b: Column, epsilon: float) -> Column:
 
 def without_comments(sql: Column, version: int) -> Column:
     """Statement text with the body of ``/*!NNNNN ... */`` kept if NNNNN is at most ``version``, without other comments, blanks joined."""
-    pieces = F.split(sql, r"(?=/\*)|(?<=\*/)")
+    quoted = r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`"
+    pieces = F.regexp_extract_all(sql, F.lit(rf"(?s){quoted}|/\*.*?\*/|[^'\"`/]+|."), F.lit(0))
     number = lambda p: F.regexp_extract(p, r"^/\*!(\d{5,6})", 1)
     body = lambda p: F.regexp_extract(p, r"(?s)^/\*!\d{5,6}(.*)\*/$", 1)
     kept = F.transform(
@@ -46,7 +47,9 @@ def without_comments(sql: Column, version: int) -> Column:
         .when(p.startswith("/*"), F.lit(" "))
         .otherwise(p),
     )
-    return F.trim(F.regexp_replace(F.array_join(kept, ""), r"\s+", " "))
+    # blanks are joined outside quotes only
+    parts = F.regexp_extract_all(F.array_join(kept, ""), F.lit(rf"(?s){quoted}|\s+|[^'\"`\s]+|."), F.lit(0))
+    return F.trim(F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\s"), F.lit(" ")).otherwise(p)), ""))
 
 
 def column_ddl(columns: DataFrame) -> DataFrame:

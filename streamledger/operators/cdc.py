@@ -7,6 +7,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Record ids in one range, within which a table's schema changes are counted one by one.
+RANGE = 1 << 16
+
 
 def last_writes(log: DataFrame, key: str = "key", order: str = "record_id") -> DataFrame:
     """The state after the log: each key's last record, unless it is a DELETE.
@@ -43,8 +46,15 @@ def blocking_counts(touches: DataFrame) -> DataFrame:
 
 def ddl_epochs(log: DataFrame) -> DataFrame:
     """With ``epoch``: how many schema changes of its table stand at or before a record."""
-    order = Window.partitionBy(F.lower("tbl")).orderBy("record_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return log.withColumn("epoch", F.count_if(F.col("op") == "DDL").over(order))
+    # counted by range of ids first, so that no window spans all of a table's records
+    ranged = log.withColumns({"_tbl": F.lower("tbl"), "_range": F.call_function("div", F.col("record_id"), F.lit(RANGE))})
+    counts = ranged.groupBy("_tbl", "_range").agg(F.count_if(F.col("op") == "DDL").alias("_n"))
+    before = Window.partitionBy("_tbl").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col("_tbl").alias("_of"), F.col("_range").alias("_in"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = Window.partitionBy("_tbl", "_range").orderBy("record_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = ranged.withColumn("_epoch", F.count_if(F.col("op") == "DDL").over(own))
+    found = found.join(counts, F.col("_tbl").eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_in")))
+    return found.select(*log.columns, (F.col("_epoch") + F.col("_before")).alias("epoch"))
 
 
 def dependencies(touches: DataFrame) -> DataFrame:
@@ -66,6 +76,8 @@ def levels(transactions: DataFrame, waits: DataFrame) -> DataFrame:
 
     def kept(df: DataFrame) -> DataFrame:
         if folder is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             return df.cache()
         path = f"{folder.rstrip('/')}/levels-{uuid.uuid4().hex}"
         df.write.parquet(path)

@@ -19,7 +19,7 @@ def allowed_tables(log: DataFrame, tables: list[str]) -> DataFrame:
 
 
 def start_from(log: DataFrame, timestamp=None, offset: int | None = None, record_id: int | None = None) -> DataFrame:
-    """Records from a time, a log offset or a record id on; the bound reaches the scan."""
+    """Records from a time, a log offset or a record id on; over a stored log the bound reaches the scan."""
     if timestamp is not None:
         log = log.where(F.col("ts") >= F.lit(timestamp).cast(log.schema["ts"].dataType))
     if offset is not None:

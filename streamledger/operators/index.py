@@ -25,6 +25,11 @@ def postings(index: DataFrame, *key: str) -> DataFrame:
     return index.groupBy(*key).agg(F.array_sort(F.collect_list("record_id")).alias("record_ids"))
 
 
+def summary(index: DataFrame, *key: str) -> DataFrame:
+    """Each key with how many records it has, and its first and last one; no list is gathered."""
+    return index.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("record_id").alias("first_record"), F.max("record_id").alias("last_record"))
+
+
 def seek(index: DataFrame, **key) -> DataFrame:
     """The entries of one key."""
     for name, value in key.items():

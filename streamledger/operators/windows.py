@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Width, in key values, of the ranges whose rows are numbered together.
@@ -22,8 +24,8 @@ def numbered(df: DataFrame, key: str, name: str = "row_no", width: int = RANGE)
     so no window spans all rows. Rows with equal keys get consecutive numbers in no
     particular order.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(key) / width))
-    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_outer", F.floor(F.col("_range") / width))
+    ranged = df.withColumn("_range", F.call_function("div", F.col(key), F.lit(width)))
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_outer", F.call_function("div", F.col("_range"), F.lit(width)))
     outer = counts.groupBy("_outer").agg(F.sum("_n").alias("_m"))
     before = Window.orderBy("_outer").rowsBetween(Window.unboundedPreceding, -1)
     outer = outer.select("_outer", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_base"))
@@ -35,4 +37,14 @@ def numbered(df: DataFrame, key: str, name: str = "row_no", width: int = RANGE)
 
 def row_windows(df: DataFrame, key: str, rows: int, *aggregates: Column) -> DataFrame:
     """Aggregates by tumbling window of ``rows`` rows in key order."""
-    return numbered(df, key).groupBy(F.floor(F.col("row_no") / rows).alias("window_no")).agg(*aggregates)
+    return numbered(df, key).groupBy(F.call_function("div", F.col("row_no"), F.lit(rows)).alias("window_no")).agg(*aggregates)
+
+
+def create_function(spark: SparkSession, name: str, function: Callable, returns: str = "double") -> None:
+    """Make ``function(values: pd.Series) -> value`` an aggregate that windows and SQL call by ``name``."""
+    spark.udf.register(name, F.pandas_udf(function, returns))
+
+
+def drop_function(spark: SparkSession, name: str) -> None:
+    """Drop an aggregate made by ``create_function``; without one of the name, nothing happens."""
+    spark.sql(f"DROP TEMPORARY FUNCTION IF EXISTS `{name}`")

@@ -136,9 +136,10 @@ def where_conjunctive_eq(spark, sf_dir):
     return found.select("o_orderkey", "o_totalprice")
 
 
-@_query(f"WITH {_LOG} SELECT record_id, op FROM log")
+@_query(f"WITH {_LOG} SELECT record_id, op FROM log WHERE txn_id % 2 = 0")
 def table_allow_list(spark, sf_dir):
-    return filters.allowed_tables(_orders(spark, sf_dir), ["SHOP.Orders", "shop.lineitem"]).select("record_id", "op")
+    log = _orders(spark, sf_dir).withColumn("tbl", F.when(F.col("txn_id") % 2 == 0, "orders").otherwise("returns"))
+    return filters.allowed_tables(log, ["SHOP.Orders", "shop.lineitem"]).select("record_id", "op")
 
 
 @_query(f"WITH {_LOG} SELECT record_id, txn_id, CAST(1 AS INTEGER) AS log_id, log_offset, ts, op FROM log")
@@ -163,9 +164,11 @@ def update_old_image(spark, sf_dir):
     return rows.select("record_id", filters.old_value("s", 2).alias("old_status"), filters.old_value("c", 1).alias("old_customer"))
 
 
-@_query(f"WITH {_LOG} SELECT record_id, FALSE AS primary_changed, TRUE AS status_changed, CAST(4 AS BIGINT) AS bits FROM log WHERE op = 'UPDATE'")
+@_query(f"WITH {_LOG} SELECT record_id, k % 2 = 0 AS primary_changed, k % 4 < 3 AS status_changed, CAST(CASE k % 4 WHEN 3 THEN 2 WHEN 1 THEN 4 ELSE 5 END AS BIGINT) AS bits FROM log WHERE op = 'UPDATE'")
 def key_updated(spark, sf_dir):
-    rows = _orders(spark, sf_dir).where("op = 'UPDATE'")
+    key = F.col("new.k") % 4
+    changed = F.when(key == 3, F.array(F.lit(1))).when(key == 1, F.array(F.lit(2))).otherwise(F.array(F.lit(0), F.lit(2)))
+    rows = _orders(spark, sf_dir).where("op = 'UPDATE'").withColumn("changed", changed)
     return rows.select("record_id", filters.key_updated([0]).alias("primary_changed"), filters.key_updated([0, 2]).alias("status_changed"), filters.changed_bits().alias("bits"))
 
 
@@ -200,8 +203,7 @@ def index_images(spark, sf_dir):
 @_query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, min(o_orderkey) AS first_record, max(o_orderkey) AS last_record FROM orders GROUP BY 1, 2")
 def index_composite(spark, sf_dir):
     entries = _read(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority", F.col("o_orderkey").alias("record_id"))
-    found = index.postings(entries, "o_orderstatus", "o_orderpriority")
-    return found.select("o_orderstatus", "o_orderpriority", F.size("record_ids").cast("long").alias("n"), F.element_at("record_ids", 1).alias("first_record"), F.element_at("record_ids", -1).alias("last_record"))
+    return index.summary(entries, "o_orderstatus", "o_orderpriority")
 
 
 @_query("SELECT o_custkey, o_orderkey AS record_id FROM orders WHERE o_custkey = 10")
@@ -234,7 +236,7 @@ def index_first_last(spark, sf_dir):
     return index.ends(_read(spark, sf_dir, "orders"), "o_orderdate")
 
 
-@_query(f"WITH {_LOG} SELECT record_id, op FROM log WHERE record_id IN (SELECT record_id FROM log WHERE s = 'U')")
+@_query(f"WITH {_LOG} SELECT record_id, op FROM log WHERE s = 'U'")
 def index_back_reference(spark, sf_dir):
     log = _orders(spark, sf_dir)
     listed = index.seek(log.select(F.col("new.s").alias("key"), "record_id"), key="U")
@@ -362,6 +364,28 @@ def catalog_timeline(spark, sf_dir):
     return _catalog(spark).select("db", "tbl", "version", "columns", "begin_cp", "end_cp")
 
 
+#: Changes of keys and their columns, and the keys after each.
+_KEY_CHANGES = [
+    ("create", "a", None, "int", None), ("create", "b", None, "int", None), ("create", "c", None, "string", None),
+    ("add_key", "PRIMARY", None, "a, b", None), ("add_key", "by_c", None, "c", None), ("rename", "B", "z", None, None),
+    ("drop", "a", None, None, None), ("modify", "C", None, "bigint", ""), ("drop", "c", None, None, None), ("drop_key", "primary", None, None, None),
+]
+
+
+@_query("""
+    SELECT * FROM (VALUES (0, 'a int', ''), (1, 'a int, b int', ''), (2, 'a int, b int, c string', ''), (3, 'a int, b int, c string', 'PRIMARY(a,b)'),
+        (4, 'a int, b int, c string', 'PRIMARY(a,b) by_c(c)'), (5, 'a int, z int, c string', 'PRIMARY(a,z) by_c(c)'), (6, 'z int, c string', 'PRIMARY(z) by_c(c)'),
+        (7, 'c bigint, z int', 'PRIMARY(z) by_c(c)'), (8, 'z int', 'PRIMARY(z)'), (9, 'z int', '')) v(cp, columns, keys)""")
+def catalog_keys(spark, sf_dir):
+    text = lambda v: "NULL" if v is None else f"'{v}'"
+    rows = ", ".join(f"('d', 't', {cp}L, 0L, {', '.join(map(text, change))})" for cp, change in enumerate(_KEY_CHANGES))
+    changes = spark.sql(f"SELECT * FROM VALUES {rows} AS v(db, tbl, cp, seq, action, name, new_name, type, after)")
+    named = lambda k: F.concat(k["name"], F.lit("("), F.array_join(k["parts"], ","), F.lit(")"))
+    return catalog.versions(changes).select(
+        F.col("begin_cp").cast("int").alias("cp"), F.array_join(F.transform("columns", lambda c: F.concat_ws(" ", c["name"], c["type"])), ", ").alias("columns"), F.array_join(F.transform("keys", named), " ").alias("keys")
+    )
+
+
 @_query(f"WITH {_VERSIONS} SELECT tbl, version, columns FROM t WHERE begin_cp <= 5000000 AND end_cp > 5000000")
 def catalog_valid_at(spark, sf_dir):
     return catalog.valid_at(_catalog(spark), 5_000_000).select("tbl", "version", "columns")
@@ -419,16 +443,16 @@ def schema_to_ddl(spark, sf_dir):
 
 
 @_query("""
-    SELECT n_nationkey, 'create table t (a int ' || CASE WHEN n_nationkey * 10000 <= 80000 THEN 'default 1 ' ELSE '' END || ')' AS statement FROM nation""")
+    SELECT n_nationkey, 'create table t (a int ' || CASE WHEN n_nationkey * 10000 <= 80000 THEN 'default 1 ' ELSE '' END || ', b text default ''/* not  one */'')' AS statement FROM nation""")
 def version_comments(spark, sf_dir):
-    text = F.concat(F.lit("create /* plain */ table t\n (a int /*!"), F.lpad((F.col("n_nationkey") * 10000).cast("string"), 6, "0"), F.lit(" default 1 */ )"))
+    text = F.concat(F.lit("create /* plain */ table t\n (a int /*!"), F.lpad((F.col("n_nationkey") * 10000).cast("string"), 6, "0"), F.lit(" default 1 */ , b  text default '/* not  one */')"))
     return _read(spark, sf_dir, "nation").select("n_nationkey", scalars.without_comments(text, 80000).alias("statement"))
 
 
-@_query("SELECT n_nationkey, n_name, lower(n_name) = lower(upper(n_name)) AS same, hex(n_name) AS code, n_name AS decoded FROM nation")
+@_query("SELECT n_nationkey, n_name, n_nationkey % 2 = 0 AS same, hex(n_name) AS code, 'name_é' AS decoded FROM nation")
 def name_helpers(spark, sf_dir):
     nation = _read(spark, sf_dir, "nation")
-    return nation.select("n_nationkey", "n_name", scalars.same_name(F.col("n_name"), F.upper("n_name")).alias("same"), F.hex("n_name").alias("code"), F.decode(F.unhex(F.hex("n_name")), "UTF-8").alias("decoded"))
+    return nation.select("n_nationkey", "n_name", scalars.same_name(F.col("n_name"), F.when(F.col("n_nationkey") % 2 == 0, F.upper("n_name")).otherwise(F.concat("n_name", F.lit("_")))).alias("same"), F.hex("n_name").alias("code"), F.decode(F.unhex(F.lit("6e616d655fc3a9")), "UTF-8").alias("decoded"))
 
 
 # ---- storage ------------------------------------------------------------------------

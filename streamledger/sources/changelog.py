@@ -26,7 +26,7 @@ def log_of_events(events: DataFrame) -> DataFrame:
         .otherwise("UPDATE")
     )
     return events.select(
-        F.col("event_id").alias("record_id"), F.floor(F.col("event_id") / 10).alias("txn_id"), F.col("ts"), op.alias("op"), F.lit("events").alias("tbl"),
+        F.col("event_id").alias("record_id"), F.call_function("div", F.col("event_id"), F.lit(10)).alias("txn_id"), F.col("ts"), op.alias("op"), F.lit("events").alias("tbl"),
         F.col("user_id").alias("key"), "event_type", "value",
     )
 
@@ -42,7 +42,7 @@ def log_of_orders(orders: DataFrame) -> DataFrame:
     given, updated = image(F.col("o_orderstatus")), image(F.lit("U"))
     last = F.when(key % 3 == 0, updated).otherwise(given)
     unchanged = F.array().cast("array<int>")
-    txn = F.floor(key / 10)
+    txn = F.call_function("div", key, F.lit(10))
 
     def step(number: int, op: Column, new: Column, old: Column, changed: Column) -> Column:
         return F.struct(F.lit(number).alias("step"), op.alias("op"), new.alias("new"), old.alias("old"), changed.alias("changed"))
@@ -85,7 +85,7 @@ def ddl(log: DataFrame) -> DataFrame:
 
 def in_blocks(log: DataFrame, records: int = BLOCK_RECORDS) -> DataFrame:
     """The log with ``block_id``; a block spans ``records`` consecutive ids."""
-    return log.withColumn("block_id", F.floor(F.col("record_id") / records))
+    return log.withColumn("block_id", F.call_function("div", F.col("record_id"), F.lit(records)))
 
 
 def append(log: DataFrame, folder: str, records: int = BLOCK_RECORDS) -> None:
@@ -103,6 +103,11 @@ def stored(spark: SparkSession, folder: str, first: int | None = None, last: int
     return log
 
 
+def scanned(spark: SparkSession, folder: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """``stored``, in order of record id across blocks, by range partitions."""
+    return stored(spark, folder, first, last).orderBy("record_id")
+
+
 def block_stats(log: DataFrame, records: int = BLOCK_RECORDS) -> DataFrame:
     """The block directory: records, ids and times of each block."""
     return in_blocks(log, records).groupBy("block_id").agg(

@@ -2,6 +2,8 @@ import re
 from datetime import datetime
 from pathlib import Path
 
+import pandas as pd
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -51,6 +53,40 @@ def test_schema_changes(spark):
     assert _columns(spark, ("drop_table", None, None, None, None), ("create", "n", None, "int", None)) == [("n", "int")]
 
 
+def test_schema_changes_that_move_rename_or_miss(spark):
+    assert _columns(spark, ("add", "c", None, "date", "A")) == [("a", "int"), ("c", "date"), ("b", "string")]
+    assert _columns(spark, ("rename", "A", "z", None, None)) == [("z", "int"), ("b", "string")]
+    assert _columns(spark, ("modify", "A", None, "bigint", "b")) == [("b", "string"), ("a", "bigint")]
+    assert _columns(spark, ("change", "b", "y", "date", "")) == [("y", "date"), ("a", "int")]
+    for change in (("add", "c", None, "date", "x"), ("drop", "x", None, None, None), ("rename", "x", "y", None, None), ("no such", "a", None, None, None)):
+        with pytest.raises(Exception, match="no (column|action)"):
+            _columns(spark, change)
+
+
+def test_functions_by_name(spark):
+    def spread(values: pd.Series) -> float:
+        return float(values.max() - values.min())
+
+    windows.create_function(spark, "spread", spread)
+    spark.range(10).createOrReplaceTempView("tens")
+    assert [r[0] for r in spark.sql("SELECT spread(id) FROM tens GROUP BY id % 2 ORDER BY id % 2").collect()] == [8.0, 8.0]
+    windows.drop_function(spark, "spread")
+    windows.drop_function(spark, "spread")
+    assert not spark.catalog.functionExists("spread")
+
+
+def test_epochs_across_ranges(spark, monkeypatch):
+    monkeypatch.setattr(cdc, "RANGE", 4)
+    rows = [(i, "T" if i % 3 else "t", "DDL" if i % 5 == 0 else "INSERT") for i in range(40)] + [(50, None, "DDL")]
+    found = cdc.ddl_epochs(spark.createDataFrame(rows, "record_id long, tbl string, op string")).collect()
+    assert {r["record_id"]: r["epoch"] for r in found} == {i: 1 if t is None else sum(o == "DDL" and u is not None for j, u, o in rows if j <= i) for i, t, o in rows}
+
+
+def test_ddl_records(spark):
+    log = spark.createDataFrame([(1, "d", "DDL", "drop table t"), (2, "d", "INSERT", None)], "record_id long, db string, op string, ddl string")
+    assert [tuple(r) for r in changelog.ddl(log).collect()] == [(1, "d", "drop table t")]
+
+
 def test_timeline_is_half_open(spark):
     rows = spark.createDataFrame([("t", 1, 10), ("t", 2, 20), ("u", 1, 5)], "tbl string, version int, begin_cp long")
     found = catalog.timeline(rows, "tbl")
@@ -74,6 +110,8 @@ def test_stored_log_round_trip(spark, sf_dir, tmp_path):
     part = changelog.stored(spark, str(tmp_path / "log"), first=1, last=2)
     assert {r["block_id"] for r in part.select("block_id").distinct().collect()} == {1, 2}
     assert part.agg(F.min("record_id")).first()[0] >= 1024
+    ordered = [r["record_id"] for r in changelog.scanned(spark, str(tmp_path / "log")).collect()]
+    assert ordered == sorted(ordered)
     plan = part._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(block_id" in plan
 
@@ -107,6 +145,8 @@ def test_version_comments(spark):
     text = "a /* x */ b /*!50100 c */ d /*!90000 e */\n\t f"
     row = spark.createDataFrame([(text,)], "s string").select(scalars.without_comments(F.col("s"), 80000).alias("s")).first()
     assert row["s"] == "a b c d f"
+    quoted = spark.createDataFrame([("x  '/* it\\'s  */' /* gone */ `a  b`",)], "s string").select(scalars.without_comments(F.col("s"), 80000).alias("s")).first()
+    assert quoted["s"] == "x '/* it\\'s  */' `a  b`"
 
 
 def test_nothing_else_imports_the_training_data_operators():
