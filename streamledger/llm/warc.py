@@ -2,9 +2,9 @@
 
 An archive is a file whose first frame is a skippable frame (magic 0x184D2A5D) that
 holds the compression dictionary, followed by one Zstandard frame for each record.
-Each task writes its records in archives of about ``ARCHIVE_BYTES`` and puts each
-under its final name only when it is whole, so a rerun of a lost task replaces and
-never adds to what a reader sees. The reader takes whole files from Spark's
+Each task writes its records in archives of about ``ARCHIVE_BYTES``, under names of its
+own attempt, and what the job returns names those of the attempts that counted. The
+reader takes these names, so what a lost or repeated attempt left is not read. The reader takes whole files from Spark's
 ``binaryFile`` source, so it reads from any store that Spark can list.
 """
 
@@ -23,12 +23,14 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamledger.llm.common import shared_dir, text_or_empty
+from streamledger.llm.common import shared_dir, stage, text_or_empty
 
 #: Compressed bytes after which an archive is closed; a task holds one archive at a time.
 ARCHIVE_BYTES = 4 << 20
 #: Pages from which the dictionary is trained, at most, and its size.
 SAMPLE, DICTIONARY_BYTES = 500, 64 << 10
+#: Tasks that read named archives, at most.
+MOST_TASKS = 20_000
 MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -119,7 +121,10 @@ def record(page_id, url, html: bytes, digest: str, kind: str, refers_to) -> byte
 
 
 def write_archives(rows: DataFrame, folder: str, dictionary: bytes) -> DataFrame:
-    """Write what ``classified`` gives; returns ``archive, records, bytes``, one row for each file."""
+    """Write what ``classified`` gives; returns ``archive, records, bytes``, one row for each file.
+
+    Each evaluation writes anew: keep the result (``stage``) and read the archives it names.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(dictionary)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,16 +135,15 @@ def write_archives(rows: DataFrame, folder: str, dictionary: bytes) -> DataFrame
         data = zstandard.ZstdCompressionDict(shared.value) if shared.value else None
         packer = zstandard.ZstdCompressor(level=3, dict_data=data, write_content_size=True, write_checksum=True)
         lead = struct.pack("<II", MAGIC, len(shared.value)) + shared.value
-        held, size, number = [lead], len(lead), 0
+        held, size, number, attempt = [lead], len(lead), 0, uuid.uuid4().hex
 
         def close():
             nonlocal held, size, number
-            name = f"part-{TaskContext.get().partitionId():06d}-{number:05d}.warc.zst"
-            partial = f"{base}/.{name}.{uuid.uuid4().hex}"
-            with store.open_output_stream(partial) as out:
+            # no two attempts share a name, so none changes what another has written
+            name = f"part-{TaskContext.get().partitionId():06d}-{attempt}-{number:05d}.warc.zst"
+            with store.open_output_stream(f"{base}/{name}") as out:
                 for x in held:
                     out.write(x)
-            store.move(partial, f"{base}/{name}")
             done = pd.DataFrame({"archive": [name], "records": [len(held) - 1], "bytes": [size]})
             held, size, number = [lead], len(lead), number + 1
             return done
@@ -235,24 +239,43 @@ def parse(data: bytes) -> dict:
     return out
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """All records of the ``.warc.zst`` files of a folder, as ``archive`` and ``RECORD_SCHEMA``; ``error`` is null for sound ones."""
+def read_archives(spark: SparkSession, folder: str, names: DataFrame | None = None) -> DataFrame:
+    """All records of the ``.warc.zst`` files of a folder, as ``archive`` and ``RECORD_SCHEMA``; ``error`` is null for sound ones.
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["archive", "page_id", "record_type", "url", "record_id", "refers_to", "payload_bytes", "payload_digest", "payload", "error"]
+    With ``names(archive)`` only these files are read, from the store that ``write_archives`` writes to.
+    """
+
+    columns = ["archive", "page_id", "record_type", "url", "record_id", "refers_to", "payload_bytes", "payload_digest", "payload", "error"]
+
+    def records(name: str, content: bytes) -> Iterator[pd.DataFrame]:
+        rows = []
+        for _, frame, error in frames(content):
+            rows.append({"archive": name} | (parse(frame) if error is None else {"error": error}))
+            if len(rows) == 256:
+                yield pd.DataFrame(rows, columns=columns).astype({c: "Int64" for c in ("page_id", "refers_to", "payload_bytes")})
+                rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=columns).astype({c: "Int64" for c in ("page_id", "refers_to", "payload_bytes")})
+
+    def listed(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                rows = []
-                for _, frame, error in frames(bytes(content)):
-                    rows.append({"archive": path.rsplit("/", 1)[-1]} | (parse(frame) if error is None else {"error": error}))
-                    if len(rows) == 256:
-                        yield pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("page_id", "refers_to", "payload_bytes")})
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("page_id", "refers_to", "payload_bytes")})
+                yield from records(path.rsplit("/", 1)[-1], bytes(content))
+
+    def named(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = fs.FileSystem.from_uri(folder)
+        for pdf in it:
+            for name in pdf["archive"]:
+                with store.open_input_stream(f"{base}/{name}") as file:
+                    content = file.read()
+                yield from records(name, content)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path", "content")
-    return files.mapInPandas(run, f"archive string, {RECORD_SCHEMA}")
+    if names is None:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path", "content")
+        return files.mapInPandas(listed, f"archive string, {RECORD_SCHEMA}")
+    # the names weigh little, what they name does not: as many tasks as files, up to a bound
+    tasks = max(1, min(MOST_TASKS, names.count()))
+    return names.select("archive").repartition(tasks, "archive").mapInPandas(named, f"archive string, {RECORD_SCHEMA}")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -260,7 +283,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     written = write_archives(classified(pages), folder, train_dictionary(pages))
-    total = written.agg(F.sum("records").alias("n")).first()["n"]
-    if not total:
+    written = stage(written, "archives")
+    if written.isEmpty():
         return spark.createDataFrame([], f"archive string, {RECORD_SCHEMA}")
-    return read_archives(spark, folder)
+    return read_archives(spark, folder, written)
