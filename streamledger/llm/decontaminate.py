@@ -7,7 +7,8 @@ a bitmap of fixed size, which each task uses to let only likely hits pass; the h
 are then joined with the benchmark's hashes, and each joined hit is verified around
 its place on the full words: the best run along that alignment gains a point for each
 equal word and loses ``PENALTY`` for each substituted one, and must reach
-``LEAST_POINTS`` or 70 % of a shorter item.
+``LEAST_POINTS`` or 70 % of a shorter item. Items of under ``SPAN`` words have no window:
+they match where all their words stand, found by one hash of the whole item.
 """
 
 from __future__ import annotations
@@ -32,16 +33,22 @@ WORD[0x30:0x3A] = WORD[0x41:0x5B] = WORD[0x61:0x7B] = True
 WORD[0x80:] = True
 _OFFSETS = [[k for k, x in enumerate(m) if x == "1"] for m in MASKS]
 _FACTORS = mix(np.arange(1, 1 + len(MASKS) * SPAN, dtype=np.uint64)).reshape(len(MASKS), SPAN) | np.uint64(1)
+_WHOLE = mix(np.arange(1001, 1001 + SPAN, dtype=np.uint64)) | np.uint64(1)
 
 
-def _seeds(words: np.ndarray, offsets: np.ndarray):
-    """For each mask, the starts of all windows inside one text, and their hashes."""
-    starts = max(0, len(words) - SPAN + 1)
+def _starts(words: np.ndarray, offsets: np.ndarray, width: int) -> tuple[int, np.ndarray]:
+    """The number of windows of ``width`` words, and the starts of those inside one text."""
+    starts = max(0, len(words) - width + 1)
     inside = np.ones(starts, bool)
-    for k in range(1, SPAN):
+    for k in range(1, width):
         over = offsets[1:] - k
         inside[over[(over >= 0) & (over < starts)]] = False
-    at = np.flatnonzero(inside)
+    return starts, np.flatnonzero(inside)
+
+
+def _seeds(words: np.ndarray, offsets: np.ndarray):
+    """For each mask, the starts of all windows inside one text, and their hashes."""
+    starts, at = _starts(words, offsets, SPAN)
     for own, factors in zip(_OFFSETS, _FACTORS, strict=True):
         h = np.zeros(starts, np.uint64)
         for k in own:
@@ -49,6 +56,16 @@ def _seeds(words: np.ndarray, offsets: np.ndarray):
         yield at, mix(h[at])
 
 
+def _wholes(words: np.ndarray, offsets: np.ndarray, lengths):
+    """The same for windows of each of ``lengths``, under SPAN words, by all of their words."""
+    for n in lengths:
+        starts, at = _starts(words, offsets, n)
+        h = np.full(starts, n, np.uint64)
+        for k in range(n):
+            h += words[k : k + starts] * _WHOLE[k]
+        yield at, mix(h[at])
+
+
 _BENCH = pa.schema([("hash", pa.int64()), ("item_id", pa.int64()), ("at", pa.int32())])
 
 
@@ -57,7 +74,12 @@ def _bench_seeds(it):
         for first, last in pieces(batch.column("text")):
             part = batch.slice(first, last - first)
             words, offsets = word_hashes(*raw_bytes(part.column("text")), WORD)
-            for at, h in _seeds(words, offsets):
+            size, wholes = np.diff(offsets), []
+            for n in np.unique(size[(size > 0) & (size < SPAN)]):
+                for at, h in _wholes(words, offsets, [n]):
+                    own = np.isin(at, offsets[:-1][size == n])
+                    wholes.append((at[own], h[own]))
+            for at, h in [*_seeds(words, offsets), *wholes]:
                 item = np.searchsorted(offsets, at, "right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column("item_id").take(pa.array(item)), pa.array((at - offsets[item]).astype(np.int32))], schema=_BENCH)
 
@@ -76,7 +98,7 @@ def _item_words(it):
 _SEGMENTS = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("start", pa.int64()), ("words", pa.list_(pa.int64())), ("hits", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64()))])
 
 
-def _segments(bitmap):
+def _segments(bitmap, lengths):
     """Stretches of texts around likely hits: their words, and the hits' places and hashes."""
     low = np.uint64((1 << BITS) - 1)
 
@@ -88,7 +110,7 @@ def _segments(bitmap):
                 part = batch.slice(first, last - first)
                 words, offsets = word_hashes(*raw_bytes(part.column("text")), WORD)
                 places, hashes = [], []
-                for at, h in _seeds(words, offsets):
+                for at, h in [*_seeds(words, offsets), *_wholes(words, offsets, lengths)]:
                     likely = np.flatnonzero(isset(h & low))
                     likely = likely[isset((h[likely] >> np.uint64(BITS)) & low)]
                     places.append(at[likely])
@@ -144,20 +166,22 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     One row for each text (``digest`` is xxhash64 of it) and item that it holds; rows
     with one id and one text are one. ``matched`` counts equal words in the best run,
     ``first_word`` is the run's first word in the text. Null texts are empty and hold
-    nothing; items with fewer than ``SPAN`` words are too short to tell and match
-    nothing; items with a null id count as any other. Other columns are ignored.
+    nothing; items with fewer than ``SPAN`` words match by all their words in a row, those
+    without words nothing; items with a null id count as any other. Other columns are ignored.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty("text").alias("text"))
     seeds = stage(items.mapInArrow(_bench_seeds, "hash long, item_id long, at int"), "seeds")
     bitmap = spark.sparkContext.broadcast(_bitmap(seeds))
+    item_words = stage(items.mapInArrow(_item_words, "item_id long, item array<long>").where(F.size("item") > 0), "items")
+    # at most SPAN - 1 rows
+    lengths = sorted(r["n"] for r in item_words.select(F.size("item").alias("n")).where(F.col("n") < SPAN).distinct().collect())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty("text")).alias("digest"), text_or_empty("text").alias("text"))
-    segments = texts.mapInArrow(_segments(bitmap), "doc_id long, digest long, start long, words array<long>, hits array<int>, hashes array<long>")
+    segments = texts.mapInArrow(_segments(bitmap, lengths), "doc_id long, digest long, start long, words array<long>, hits array<int>, hashes array<long>")
     segments = stage(segments.withColumn("segment", F.monotonically_increasing_id()), "segments")
     hits = segments.select("segment", F.explode(F.arrays_zip("hits", "hashes")).alias("h")).select("segment", F.col("h.hits").alias("hit"), F.col("h.hashes").alias("hash"))
     # one alignment for each segment, item and diagonal, however many seeds agree on it
     aligned = hits.join(seeds, "hash").select("segment", "item_id", (F.col("hit") - F.col("at")).alias("shift")).distinct()
-    item_words = items.mapInArrow(_item_words, "item_id long, item array<long>").where(F.size("item") >= SPAN)
     pairs = aligned.withColumnRenamed("item_id", "own").join(item_words, F.col("own").eqNullSafe(F.col("item_id"))).join(segments, "segment")
     # the best run along the diagonal: points, equal words and first place, of the best so far and of the run that ends here
     best = F.expr(f"""
@@ -174,7 +198,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """)
     return (
         pairs.withColumn("run", best)
-        .where(F.col("run.best") >= F.least(F.lit(LEAST_POINTS), F.ceil(F.size("item") * SHARE)))
+        .where(F.col("run.best") >= F.when(F.size("item") < SPAN, F.size("item")).otherwise(F.least(F.lit(LEAST_POINTS), F.ceil(F.size("item") * SHARE))))
         .groupBy("doc_id", "digest", "item_id")
         .agg(F.max(F.struct(F.col("run.matched").alias("matched"), F.col("run.best").alias("points"), (-(F.col("start") + F.col("run.first") + F.col("shift"))).alias("before"))).alias("top"))
         .select("doc_id", "digest", "item_id", F.col("top.matched").alias("matched"), F.col("top.points").alias("points"), (-F.col("top.before")).alias("first_word"))

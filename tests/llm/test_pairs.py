@@ -211,3 +211,10 @@ def test_decontamination_of_empty_tables(spark):
     none = spark.createDataFrame([], BENCH)
     assert without_leaks(docs, none).count() == 1
     assert without_leaks(docs.limit(0), spark.createDataFrame([(1, "a b c d e f g h i j k l m n", 1, "h")], BENCH)).count() == 0
+
+
+def test_short_benchmark_items_match_whole(spark):
+    items = spark.createDataFrame([(1, "Alpha, beta gamma!"), (2, "one two three four five six seven eight nine"), (3, ""), (4, None), (None, "solo words")], "item_id long, text string")
+    rows = [(1, "x alpha BETA gamma y"), (2, "alpha beta x gamma"), (3, "alpha beta"), (4, "0 one two three four five six seven eight nine"), (5, "one two three four five six seven eight ten"), (6, "solo words"), (7, "gamma"), (8, None)]
+    got = overlaps(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert sorted(((r["doc_id"], r["item_id"], r["matched"], r["first_word"]) for r in got), key=str) == sorted([(1, 1, 3, 1), (4, 2, 9, 1), (6, None, 2, 0)], key=str)
