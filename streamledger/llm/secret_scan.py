@@ -196,14 +196,27 @@ def labelled_findings(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
     )
 
 
-def train(findings: DataFrame) -> RandomForestClassificationModel:
-    """A random forest on ``findings(word, before, before2, after, path, label)``, and ``value`` where they have it."""
+def train(findings: DataFrame) -> RandomForestClassificationModel | float:
+    """A random forest on ``findings(word, before, before2, after, path, label)``, and ``value`` where they have it.
+
+    Rows without a label teach nothing; rows that repeat count each. Where one class is
+    missing no forest can be grown: the result is a constant probability, 1.0 if all
+    findings are secrets, 0.0 if none is or there are no findings.
+    """
+    findings = findings.where("label is not null")
+    known = {r["label"] > 0 for r in findings.select((F.col("label") > 0).cast("int").alias("label")).distinct().collect()}
+    if len(known) < 2:
+        return float(True in known)
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(findings)).select("features", "label")
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt").fit(rows)
 
 
 def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``doc_id, at, value, lead, tail, before, before2, after, path``: the runs of words that may be a secret, ``at`` the word's number from 0."""
+    """``doc_id, at, value, lead, tail, before, before2, after, path``: the runs of words that may be a secret, ``at`` the word's number from 0.
+
+    Null and empty texts have none; a value that repeats is a candidate at each place, and
+    rows that repeat give theirs each. Texts are read whole, however long. Other columns are ignored.
+    """
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(path).alias("path") if path else F.lit("").alias("path"), text_or_empty("text").alias("text"))
     # a text without any of the keys needs no look at what follows them
     telling = F.lower("text").rlike(TELLING)
@@ -231,15 +244,18 @@ def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
     return rows.select("doc_id", "path", "at", "before", "before2", "after", "v.*")
 
 
-def scan(docs: DataFrame, model: RandomForestClassificationModel, path: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, model: RandomForestClassificationModel | float, path: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Findings that the forest keeps: ``doc_id, at, value_sha256, shown, probability``.
 
     ``at`` is the number of the word in the text, and a word may have several; ``shown`` has the value's first four
     characters, so that a report does not leak it. Null and empty texts have no findings;
     rows that repeat are scanned one by one; a null path counts as empty.
     """
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(candidates(docs, path)))
-    judged = model.transform(rows).withColumn("probability", F.round(vector_to_array("probability")[1], 6))
+    if isinstance(model, float):
+        judged = candidates(docs, path).withColumn("probability", F.lit(model))
+    else:
+        rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(candidates(docs, path)))
+        judged = model.transform(rows).withColumn("probability", F.round(vector_to_array("probability")[1], 6))
     return judged.where(F.col("probability") >= threshold).select(
         "doc_id", F.col("at").cast("long").alias("at"), F.sha2(F.encode("value", "UTF-8"), 256).alias("value_sha256"), F.concat(F.substring("value", 1, 4), F.lit("...")).alias("shown"), "probability"
     )

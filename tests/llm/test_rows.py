@@ -409,3 +409,11 @@ def test_pipeline_stages(spark, sf_dir):
             assert ids <= {r["doc_id"] for r in before.select("doc_id").collect()}
         before = after
     assert before.where("position < 0 or position > 1").count() == 0
+
+
+def test_secret_scan_without_both_classes(spark):
+    findings = secret_scan.labelled_findings(spark, 20)
+    docs = spark.createDataFrame([(1, "password=hunter2"), (2, None)], "doc_id long, text string")
+    assert secret_scan.train(findings.limit(0)) == 0.0 and secret_scan.train(findings.withColumn("label", F.lit(1.0))) == 1.0
+    assert secret_scan.scan(docs, 0.0).count() == 0
+    assert [(r["doc_id"], r["probability"]) for r in secret_scan.scan(docs, 1.0).collect()] == [(1, 1.0)]
