@@ -254,6 +254,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     likely = sets.withColumn("bit", F.pmod(F.xxhash64("row", "line_no"), F.lit(size)).cast("int")).join(F.broadcast(bitmap), F.shiftright("bit", 6) == F.col("slot"))
     likely = likely.where(F.call_function("shiftright", F.col("set_bits"), F.col("bit").bitwiseAND(63)).bitwiseAND(1) != 0)
     full = stage(likely.select(F.struct("row", "line_no").alias("node"), F.col("hashes").alias("words")).join(wanted, "node"), "sets")
+    # sizes and bitmaps of all words tell most pairs apart before the words themselves are shuffled
+    bits = F.expr("aggregate(words, 0L, (x, w) -> x ^ shiftleft(1L, cast(w & 63 as int)))")
+    sides = [full.select(F.col("node").alias(k), F.size("words").alias(f"n_{k}"), bits.alias(f"bits_{k}")) for k in ("early", "late")]
+    n, m = F.col("n_late"), F.col("n_early")
+    differ = F.bit_count(F.col("bits_late").bitwiseXOR(F.col("bits_early"))) <= (n + m) * ((1 - threshold) / (1 + threshold)) + 1e-6
+    pairs = stage(pairs.join(sides[0], "early").join(sides[1], "late").where(differ & (F.least(n, m) >= F.greatest(n, m) * threshold - 1e-9)).select("late", "early"), "likely")
     # an early set that many late ones are tried with is read once for every so many of them
     many = pairs.groupBy("early").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("parts"))
     early = full.select(F.col("node").alias("early"), F.col("words").alias("b")).join(many, "early").select("early", "b", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
