@@ -50,7 +50,7 @@ STAGES = [
     ("mixing", mixing),
 ]
 
-#: No SQL can express the classifier, so the tests hold the stages against brute force.
+#: No SQL can express the classifier. The tests hold the operators of the stages against brute force on small tables.
 ORACLE_SQL = None
 
 
