@@ -90,6 +90,18 @@ def purged(catalog: DataFrame, cp: int) -> DataFrame:
     return catalog.where(F.col("end_cp") > cp)
 
 
+def with_charsets(tables: DataFrame, databases: DataFrame, default: str) -> DataFrame:
+    """``tables(db, tbl, cp, charset, ...)``: where ``charset`` is null, that of the table's database when the table was made.
+
+    ``databases(db, cp, seq, charset)`` holds a row for each time that a database was made, altered
+    or dropped; without a charset in it, or before the first, ``default`` holds. Later changes of a
+    database leave its tables as they are. Names are compared without regard to case.
+    """
+    last = databases.groupBy(F.lower("db").alias("db"), F.col("cp").alias("begin_cp")).agg(F.max_by("charset", "seq").alias("_charset"))
+    found = with_schema(tables, timeline(last, "db"), F.col("cp"), ["db"])
+    return found.withColumn("charset", F.coalesce("charset", "_charset", F.lit(default))).select(*tables.columns)
+
+
 def with_schema(log: DataFrame, catalog: DataFrame, cp: Column, keys: list[str]) -> DataFrame:
     """Each record with the version of its table that is valid at its checkpoint; without one, nulls.
 

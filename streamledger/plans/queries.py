@@ -386,6 +386,24 @@ def catalog_keys(spark, sf_dir):
     )
 
 
+#: Charsets of three databases over the ids of orders; tables are made by every order, and every fifth names its own.
+_DATABASES = "('db0', 0, 0, 'utf8'), ('db1', 2000, 0, 'gbk'), ('DB0', 3000, 1, 'utf8mb4'), ('db0', 3000, 0, 'ascii'), ('db1', 9000, 0, NULL)"
+
+
+@_query(f"""
+    WITH d(db, cp, seq, charset) AS (VALUES {_DATABASES}),
+    t AS (SELECT 'db' || CAST(o_orderkey % 3 AS VARCHAR) AS db, o_orderkey AS cp, CASE WHEN o_orderkey % 5 = 0 THEN 'binary' END AS charset FROM orders),
+    c AS (SELECT t.*, d.charset AS inherited, row_number() OVER (PARTITION BY t.cp ORDER BY d.cp DESC, d.seq DESC) AS r
+          FROM t LEFT JOIN d ON lower(d.db) = t.db AND d.cp <= t.cp)
+    SELECT db, coalesce(charset, inherited, 'latin1') AS charset, count(*) AS n, min(cp) AS first_cp FROM c WHERE r = 1 GROUP BY ALL""")
+def catalog_charset(spark, sf_dir):
+    db = F.concat(F.lit("db"), F.pmod("o_orderkey", F.lit(3)).cast("string"))
+    own = F.when(F.pmod("o_orderkey", F.lit(5)) == 0, "binary")
+    tables = spark.read.parquet(f"{sf_dir}/orders.parquet").select(db.alias("db"), F.col("o_orderkey").alias("cp"), own.alias("charset"))
+    databases = spark.sql(f"SELECT db, CAST(cp AS BIGINT) AS cp, seq, charset FROM VALUES {_DATABASES} AS v(db, cp, seq, charset)")
+    return catalog.with_charsets(tables, databases, "latin1").groupBy("db", "charset").agg(F.count(F.lit(1)).alias("n"), F.min("cp").alias("first_cp"))
+
+
 @_query(f"WITH {_VERSIONS} SELECT tbl, version, columns FROM t WHERE begin_cp <= 5000000 AND end_cp > 5000000")
 def catalog_valid_at(spark, sf_dir):
     return catalog.valid_at(_catalog(spark), 5_000_000).select("tbl", "version", "columns")

@@ -95,6 +95,17 @@ def test_timeline_is_half_open(spark):
     assert sorted((r["tbl"], r["version"]) for r in catalog.purged(found, 20).collect()) == [("t", 2), ("u", 1)]
 
 
+def test_charsets_of_databases(spark):
+    tables = "db string, tbl string, cp long, charset string"
+    databases = spark.createDataFrame([("D", 10, 0, "utf8"), ("d", 10, 1, "gbk"), ("d", 20, 0, None)], "db string, cp long, seq long, charset string")
+    rows = [("d", "a", 9, None), ("d", "b", 10, None), ("D", "c", 19, None), ("d", "d", 20, None), ("d", "e", 15, "ascii"), (None, "f", 15, None), ("other", "g", 15, None)]
+    found = catalog.with_charsets(spark.createDataFrame(rows, tables), databases, "latin1")
+    assert found.columns == ["db", "tbl", "cp", "charset"]
+    assert "".join(r["charset"][0] for r in found.orderBy("tbl").collect()) == "lgglall"
+    assert catalog.with_charsets(spark.createDataFrame([], tables), databases, "latin1").count() == 0
+    assert {r["charset"] for r in catalog.with_charsets(spark.createDataFrame(rows[:2], tables), databases.limit(0), "latin1").collect()} == {"latin1"}
+
+
 def test_start_positions_and_images(spark, sf_dir):
     log = changelog.log_of_orders(spark.read.parquet(f"{sf_dir}/orders.parquet"))
     assert filters.start_from(log, record_id=100).agg(F.min("record_id")).first()[0] >= 100
