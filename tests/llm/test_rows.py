@@ -289,6 +289,32 @@ def test_knn_equals_all_pairs(spark, monkeypatch):
     assert knn.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_knn_visits_few_cells_of_clustered_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 16))
+    x = centres[np.arange(2_000) % 20] + rng.normal(size=(2_000, 16)) * 0.02
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    vectors = knn.scaled(spark.createDataFrame([(i, [float(c) for c in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>"))
+    seen, others = [], knn._others
+
+    def noted(asked, floor, summary):
+        seen.append((asked.count(), others(asked, floor, summary).count(), int((summary.count > 0).sum())))
+        return others(asked, floor, summary)
+
+    monkeypatch.setattr(knn, "_others", noted)
+    found = {tuple(r) for r in knn.top_k(vectors, vectors.where("vec_id % 100 = 0")).collect()}
+    whole = np.floor(1024 * x).astype(np.int64)
+    expected = set()
+    for q in range(0, 2_000, 100):
+        score = whole @ whole[q]
+        order = [i for i in np.lexsort((np.arange(2_000), -score)) if i != q][:10]
+        expected |= {(q, k + 1, int(i), int(score[i])) for k, i in enumerate(order)}
+    assert found == expected
+    asked, visits, cells = seen[0]
+    # a centre's vectors stand in a few cells
+    assert asked == 20 and cells > 30 and asked + visits < 0.25 * asked * cells
+
+
 def test_knn_scores_stay_exact_when_large():
     q = np.array([[2.0**30, 3.0]])
     assert knn._scores(q, np.array([[2.0**30, 1.0]]))[0, 0] == 2**60 + 3
