@@ -34,6 +34,8 @@ from streamledger.llm.common import stage
 LEAST_PIVOTS, MOST_PIVOTS = 16, 2_048
 BLOCK, QUERIES = 8_192, 8_192
 SCALE = 1024
+#: The least score there is.
+NO_FLOOR = -(2**63)
 
 
 def scaled(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -132,18 +134,21 @@ def _solve(k: int):
         x, q = _matrix(candidates["v"]), _matrix(queries["v"])
         width = max(x.shape[1], q.shape[1])
         x, q = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (x, q))
-        ids, out = candidates["vec_id"].to_numpy(), []
-        for first in range(0, len(q), 512):
-            score = _scores(q[first : first + 512], x)
-            for row, own in zip(score, queries["query_id"].to_numpy()[first : first + 512], strict=True):
-                if len(row) > k + 1:  # all that tie with the last place stay
-                    least = np.partition(row, len(row) - k - 1)[len(row) - k - 1]
-                    at = np.flatnonzero(row >= least)
-                else:
-                    at = np.arange(len(row))
-                at = at[ids[at] != own]
-                at = at[np.lexsort((ids[at], -row[at].astype(object) if (row[at] == -(2**63)).any() else -row[at]))][:k]
-                out.append(pd.DataFrame({"query_id": own, "vec_id": ids[at], "score": row[at]}))
+        ids, own, floor = candidates["vec_id"].to_numpy(), queries["query_id"].to_numpy(), queries["floor"].to_numpy()
+        out = []
+        for first in range(0, len(q), 256):
+            rows = slice(first, first + 256)
+            score = _scores(q[rows], x)
+            least = floor[rows]
+            if score.shape[1] > k + 1:  # one more, as the query itself may be among them; all that tie with the last place stay
+                least = np.maximum(least, np.partition(score, score.shape[1] - k - 1, axis=1)[:, score.shape[1] - k - 1])
+            row, at = np.nonzero((score >= least[:, None]) & (ids != own[rows, None]))
+            # by query, score and id; the complement turns the order round without overflow
+            order = np.lexsort((ids[at], ~score[row, at], row))
+            row, at = row[order], at[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            row, at = row[place < k], at[place < k]
+            out.append(pd.DataFrame({"query_id": own[rows][row], "vec_id": ids[at], "score": score[row, at]}))
         return pd.concat(out)
 
     return run
@@ -155,23 +160,22 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 
 def _others(asked: DataFrame, floor: DataFrame, summary: Summary) -> DataFrame:
-    """``query_id, v, cell``: the cells other than its own that each query must see."""
+    """``query_id, v, floor, cell``: the cells other than its own that each query must see."""
 
     def run(it):
         for pdf in it:
             for first in range(0, len(pdf), 1024):
                 part = pdf.iloc[first : first + 1024]
-                near = summary.reached(_matrix(part["v"], summary.pivots.shape[1]), part["floor"].fillna(-np.inf).to_numpy(float))
+                near = summary.reached(_matrix(part["v"], summary.pivots.shape[1]), part["floor"].to_numpy(float))
                 near[np.arange(len(part)), part["cell"]] = False
-                yield pd.DataFrame({"query_id": part["query_id"], "v": part["v"], "cells": [np.flatnonzero(x).astype(np.int32) for x in near]})
+                yield pd.DataFrame({"query_id": part["query_id"], "v": part["v"], "floor": part["floor"], "cells": [np.flatnonzero(x).astype(np.int32) for x in near]})
 
-    return asked.select("query_id", "v", "cell").join(floor, "query_id", "left").mapInPandas(run, "query_id long, v array<double>, cells array<int>").select(
-        "query_id", "v", F.explode("cells").alias("cell")
-    )
+    known = asked.select("query_id", "v", "cell").join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(NO_FLOOR)))
+    return known.mapInPandas(run, "query_id long, v array<double>, floor long, cells array<int>").select("query_id", "v", "floor", F.explode("cells").alias("cell"))
 
 
 def _solved(cells: DataFrame, wanted: DataFrame, summary: Summary, k: int) -> DataFrame:
-    """The best of ``wanted(query_id, v, cell)`` in every block of the cell."""
+    """The best of ``wanted(query_id, v, floor, cell)`` in every block of the cell, as far as they reach the floor."""
     blocks = np.maximum(1, np.ceil(summary.count / BLOCK)).astype(int)
     # one row for each pivot
     sets = np.zeros(len(blocks), int)
@@ -181,7 +185,7 @@ def _solved(cells: DataFrame, wanted: DataFrame, summary: Summary, k: int) -> Da
     candidates = cells.withColumn("sets", at(sets)).where("sets > 0").select(
         "cell", F.pmod(F.xxhash64("vec_id"), at(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("sets") - 1)).alias("part"), "vec_id", "v"
     )
-    dealt = wanted.select("cell", F.explode(F.sequence(F.lit(0), at(blocks) - 1)).alias("block"), F.pmod(F.xxhash64("query_id"), at(sets)).cast("int").alias("part"), "query_id", "v")
+    dealt = wanted.select("cell", F.explode(F.sequence(F.lit(0), at(blocks) - 1)).alias("block"), F.pmod(F.xxhash64("query_id"), at(sets)).cast("int").alias("part"), "query_id", "v", "floor")
     keys = ("cell", "block", "part")
     found = candidates.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(_solve(k), "query_id long, vec_id long, score long")
     return _best(found, k)
@@ -207,7 +211,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int | Non
     summary = Summary.of(cells, p)
     asked = queries.select(F.col("vec_id").cast("long").alias("vec_id")).distinct()
     asked = stage(cells.join(asked, "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "v", "cell"), "queries")
-    own = stage(_solved(cells, asked, summary, k), "own")
+    own = stage(_solved(cells, asked.withColumn("floor", F.lit(NO_FLOOR)), summary, k), "own")
     floor = own.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
     others = stage(_others(asked, floor, summary), "others")
     found = own.drop("rank").unionByName(_solved(cells, others, summary, k).drop("rank"))
