@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Record ids in one range, within which a table's schema changes are counted one by one.
 RANGE = 1 << 16
+#: Waits and transactions in one block, within which levels are found in one go.
+BLOCK = 1 << 18
 
 
 def last_writes(log: DataFrame, key: str = "key", order: str = "record_id") -> DataFrame:
@@ -67,9 +70,12 @@ def dependencies(touches: DataFrame) -> DataFrame:
 def levels(transactions: DataFrame, waits: DataFrame) -> DataFrame:
     """``txn_id, level``: transactions of one level can run together, after those of all levels below.
 
-    A level is the longest chain of waits. Each round raises what waits for something
-    raised; it ends with the chain. The rounds' tables are written to the shared folder,
-    so a lost executor costs no more than its tasks.
+    A level is the longest chain of waits. Transactions are dealt by ranges of ids over
+    blocks of about ``BLOCK`` waits. Each round raises all that follows within a block at
+    once, and hands what rose to the blocks that wait for it; so there are as many rounds
+    as the longest chain changes blocks: where later ids wait for earlier ones, at most one
+    for each block. The rounds' tables are written to the shared folder, so a lost executor
+    costs no more than its tasks. Transactions that wait for one another are an error.
     """
     spark = transactions.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -83,11 +89,50 @@ def levels(transactions: DataFrame, waits: DataFrame) -> DataFrame:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    level = kept(transactions.select("txn_id", F.lit(1).alias("level")))
-    waits, raised = kept(waits), level
+    own = transactions.select("txn_id", F.lit(None).cast(waits.schema["waits_for"].dataType).alias("waits_for")).distinct()
+    rows = kept(own.unionByName(waits.select("txn_id", "waits_for").where("waits_for is not null")))
+    count, parts = rows.where("waits_for is null").count(), -(-rows.count() // BLOCK)
+    # ranges keep all rows of a transaction together
+    dealt = kept(rows.repartitionByRange(max(1, parts), "txn_id").withColumn("block", F.spark_partition_id()))
+    own = dealt.where("waits_for is null").select("txn_id", "block")
+    sides = dealt.where("waits_for is not null").join(own.select(F.col("txn_id").alias("waits_for"), F.col("block").alias("of")), "waits_for")
+    inner = kept(sides.where("block = of").groupBy("txn_id").agg(F.collect_list("waits_for").alias("waits")))
+    across = kept(sides.where("block <> of").select("txn_id", "waits_for"))
+    schema = f"block int, txn_id {own.schema['txn_id'].dataType.simpleString()}, level int, rose boolean"
+    given, still = own.withColumns({"level": F.lit(0), "reached": F.lit(1)}), None
     while True:
-        least = waits.join(raised.select(F.col("txn_id").alias("waits_for"), "level"), "waits_for").groupBy("txn_id").agg((F.max("level") + 1).alias("reached"))
-        raised = kept(level.join(least, "txn_id").where("reached > level").select("txn_id", F.col("reached").alias("level")))
-        if raised.isEmpty():
-            return level
-        level = kept(level.unionByName(raised).groupBy("txn_id").agg(F.max("level").alias("level")))
+        # one block is one group, and of bounded size
+        level = given.join(inner, "txn_id", "left").select("block", "txn_id", "level", "reached", "waits").groupBy("block").applyInArrow(_raised, schema)
+        level = kept(level if still is None else level.unionByName(still))
+        rose = level.where("rose").select(F.col("txn_id").alias("waits_for"), F.col("level").alias("before"))
+        least = across.join(rose, "waits_for").groupBy("txn_id").agg((F.max("before") + 1).alias("reached"))
+        more = kept(level.join(least, "txn_id").where("reached > level").select("block", "txn_id", "reached"))
+        top = more.agg(F.max("reached")).first()[0]
+        if top is None:
+            return level.select("txn_id", "level")
+        if top > count:
+            raise ValueError("transactions wait for one another")
+        changed = F.broadcast(more.select("block").distinct())
+        still = level.join(changed, "block", "left_anti").withColumn("rose", F.lit(False))
+        given = level.join(changed, "block", "left_semi").join(more.select("txn_id", "reached"), "txn_id", "left")
+        given = given.select("block", "txn_id", "level", F.coalesce("reached", "level").alias("reached"))
+
+
+def _raised(block: pa.Table) -> pa.Table:
+    """``block, txn_id, level, rose``: the levels of one block, from those ``reached``, along the waits within it."""
+    txns, before, level = (block[c].to_pylist() for c in ("txn_id", "level", "reached"))
+    waits = [w or () for w in block["waits"].to_pylist()]
+    place, left, after = {t: k for k, t in enumerate(txns)}, [len(w) for w in waits], [[] for _ in txns]
+    for k, w in enumerate(waits):
+        for t in w:
+            after[place[t]].append(k)
+    ready = [k for k, n in enumerate(left) if n == 0]
+    for k in ready:
+        for follower in after[k]:
+            level[follower], left[follower] = max(level[follower], level[k] + 1), left[follower] - 1
+            if left[follower] == 0:
+                ready.append(follower)
+    if len(ready) < len(txns):
+        raise ValueError("transactions wait for one another")
+    rose = [now > old for now, old in zip(level, before, strict=True)]
+    return pa.table({"block": block["block"], "txn_id": block["txn_id"], "level": pa.array(level, pa.int32()), "rose": rose})

@@ -139,6 +139,27 @@ def test_levels_follow_the_longest_chain(spark):
     assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
 
 
+@pytest.mark.parametrize("block", [1 << 18, 60])
+def test_levels_of_long_chains_take_few_rounds(spark, monkeypatch, block):
+    monkeypatch.setattr(cdc, "BLOCK", block)
+    kept, cache = [], type(spark.range(1)).cache
+    monkeypatch.setattr(type(spark.range(1)), "cache", lambda df: kept.append(df) or cache(df))
+    # a chain, every third also waits for 1, some far back, one in no chain, one without an id
+    waits = [(k, k - 1) for k in range(2, 121)] + [(k, 1) for k in range(3, 121, 3)] + [(k, k - 40) for k in range(41, 121, 7)] + [(500, 999), (77, None)]
+    found = cdc.levels(spark.createDataFrame([(k,) for k in [*range(1, 121), 500, None]], "txn_id long"), spark.createDataFrame(waits, "txn_id long, waits_for long"))
+    assert dict(found.collect()) == {k: k for k in range(1, 121)} | {500: 1, None: 1}
+    # two tables for each round; a round for each link of the chain kept 240
+    assert len(kept) < 30
+
+
+@pytest.mark.parametrize("block", [1 << 18, 1])
+def test_levels_refuse_a_circle_of_waits(spark, monkeypatch, block):
+    monkeypatch.setattr(cdc, "BLOCK", block)
+    waits = spark.createDataFrame([(1, 2), (2, 1)], "txn_id long, waits_for long")
+    with pytest.raises(Exception, match="wait for one another"):
+        cdc.levels(spark.createDataFrame([(1,), (2,)], "txn_id long"), waits).collect()
+
+
 def test_last_writes_on_an_empty_log(spark):
     assert cdc.last_writes(spark.createDataFrame([], "key int, record_id int, op string")).count() == 0
 
