@@ -11,7 +11,7 @@ line holds are not looked up, and a set whose first words are all of that kind h
 
 Sets that meet are not listed pair by pair: each set's first words are looked up in
 lists of at most about ``LIST`` sets, split by a hash when a word is more common, and
-of a list only the earliest set that fits is tried, after a bitmap of the rare words of
+of a list only the earliest set that fits is tried, after a bitmap of the words of
 both has shown that few enough of them differ. These candidates are verified on the full sets.
 Where none held, all fits of that set are listed and verified, so nothing is lost.
 """
@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streamledger.llm.common import fresh, numbered, pinned, stage, text_or_empty
+from streamledger.llm.common import fresh, numbered, pinned, scratch, stage, text_or_empty
 
 THRESHOLD = 0.9
 #: Lines with fewer distinct words are left as they are: none but blank ones.
@@ -89,9 +89,10 @@ def _rarity(lines: DataFrame) -> tuple[DataFrame, DataFrame, int]:
 
 
 def _ordered(sets: DataFrame, threshold: float) -> DataFrame:
-    """``row, doc_id, line_no, k1, k2, n, few, head``: the first words of each set, as longs that sort by rarity, the level above 56 bits of the hash.
+    """``row, doc_id, line_no, k1, k2, n, bits, head``: the first words of each set, as longs that sort by rarity, the level above 56 bits of the hash.
 
-    ``few`` are its rare words. They come before all others, so where they are enough the others need no look.
+    Its rare words come before all others, so where they are enough the others need no look.
+    In ``bits`` each word turns one of 64 bits: two sets differ in at least as many words as bits.
     """
     levels, rare, slots = _rarity(sets)
     slot = lambda w: w.bitwiseAND(slots - 1)
@@ -109,7 +110,9 @@ def _ordered(sets: DataFrame, threshold: float) -> DataFrame:
     # between the pairs stands a generator, which keeps them apart
     rows = pinned(rows, "n", F.size("hashes")).select(*kept, "n", "hashes", "few", levels.scalar().alias("levels"))
     enough = F.when(F.size("few") >= first, F.col("few")).otherwise(F.col("hashes"))
-    return rows.select(*kept, "n", "few", F.slice(F.sort_array(F.transform(enough, key)), F.lit(1), first).alias("head"))
+    # of all words: lines of common words alone share the bits of their rare ones
+    bits = F.expr("aggregate(hashes, 0L, (a, w) -> a ^ shiftleft(1L, cast(w & 63 as int)))")
+    return rows.select(*kept, "n", bits.alias("bits"), F.slice(F.sort_array(F.transform(enough, key)), F.lit(1), first).alias("head"))
 
 
 def _prefix(n: Column, overlap: Column) -> Column:
@@ -145,11 +148,10 @@ def _repeated(sets: DataFrame, threshold: float, least_words: int) -> DataFrame:
     first = pinned(_ordered(sets, threshold), "prefix", F.filter("head", lambda w: w >= 1 << 56))
     # a set with a word of its own equals no other; without a word to look up it matches none
     own = F.element_at("head", 1) < 1 << 56
-    bits = F.expr("aggregate(few, 0L, (a, w) -> a ^ shiftleft(1L, cast(w & 63 as int)))")
     lines = stage(
         first.where(F.size("prefix") > 0).select(
             "row", "doc_id", "line_no", "n", own.alias("own"), F.when(~own, F.col("k1")).alias("k1"), F.when(~own, F.col("k2")).alias("k2"),
-            (F.size("head") - F.size("prefix")).alias("skipped"), "prefix", bits.alias("bits"),
+            (F.size("head") - F.size("prefix")).alias("skipped"), "prefix", "bits",
         ),
         "lines",
     )
@@ -254,12 +256,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     likely = sets.withColumn("bit", F.pmod(F.xxhash64("row", "line_no"), F.lit(size)).cast("int")).join(F.broadcast(bitmap), F.shiftright("bit", 6) == F.col("slot"))
     likely = likely.where(F.call_function("shiftright", F.col("set_bits"), F.col("bit").bitwiseAND(63)).bitwiseAND(1) != 0)
     full = stage(likely.select(F.struct("row", "line_no").alias("node"), F.col("hashes").alias("words")).join(wanted, "node"), "sets")
-    # sizes and bitmaps of all words tell most pairs apart before the words themselves are shuffled
-    bits = F.expr("aggregate(words, 0L, (x, w) -> x ^ shiftleft(1L, cast(w & 63 as int)))")
-    sides = [full.select(F.col("node").alias(k), F.size("words").alias(f"n_{k}"), bits.alias(f"bits_{k}")) for k in ("early", "late")]
-    n, m = F.col("n_late"), F.col("n_early")
-    differ = F.bit_count(F.col("bits_late").bitwiseXOR(F.col("bits_early"))) <= (n + m) * ((1 - threshold) / (1 + threshold)) + 1e-6
-    pairs = stage(pairs.join(sides[0], "early").join(sides[1], "late").where(differ & (F.least(n, m) >= F.greatest(n, m) * threshold - 1e-9)).select("late", "early"), "likely")
     # an early set that many late ones are tried with is read once for every so many of them
     many = pairs.groupBy("early").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("parts"))
     early = full.select(F.col("node").alias("early"), F.col("words").alias("b")).join(many, "early").select("early", "b", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
@@ -272,9 +268,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def counted(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, n_lines, n_removed, removed`` for each row; ``removed`` lists its line numbers, from 0, with commas."""
     # both sides read the numbers that were written with the lines
-    sets = _sets(docs, LEAST_WORDS)
-    rows = sets.where("line_no = 0").select("row", "doc_id", F.col("n_lines").cast("long").alias("n_lines"))
-    gone = _repeated(sets, threshold, LEAST_WORDS).groupBy("row").agg(F.sort_array(F.collect_list("line_no")).alias("gone"))
+    with scratch(docs.sparkSession):
+        sets = _sets(docs, LEAST_WORDS)
+        rows = stage(sets.where("line_no = 0").select("row", "doc_id", F.col("n_lines").cast("long").alias("n_lines")), "rows", stays=True)
+        gone = _repeated(sets, threshold, LEAST_WORDS).groupBy("row").agg(F.sort_array(F.collect_list("line_no")).alias("gone"))
+        gone = stage(gone, "gone", stays=True)
     out = rows.join(gone, "row", "left")
     n = F.coalesce(F.size("gone"), F.lit(0))
     return out.select("doc_id", "n_lines", F.greatest(n, F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit("")).alias("removed"))
@@ -288,7 +286,9 @@ def without_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     """
     own, of, lines = (fresh(docs, x) for x in ("own_row", "gone_row", "gone_lines"))
     rows = numbered(docs, own)
-    gone = repeated_lines(rows, threshold, row=own).groupBy(F.col("row").alias(of)).agg(F.collect_set("line_no").alias(lines))
+    with scratch(docs.sparkSession):
+        gone = repeated_lines(rows, threshold, row=own).groupBy(F.col("row").alias(of)).agg(F.collect_set("line_no").alias(lines))
+        gone = stage(gone, "gone", stays=True)
     joined = rows.join(gone, F.col(own) == F.col(of), "left")
     kept = F.filter(F.split(text_or_empty("text"), "\n", -1), lambda x, k: ~F.array_contains(F.col(lines), k))
     rest = joined.withColumn("text", F.when(F.col(of).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))

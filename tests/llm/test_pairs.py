@@ -3,6 +3,7 @@
 import math
 import random
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -171,6 +172,31 @@ def test_line_dedup_splits_long_lists_and_tries_all_fits(spark, monkeypatch):
     assert {r["doc_id"] for r in counted(docs).collect() if r["n_removed"]} == {given[k]["doc_id"] for k, _ in later_lines(given)}
 
 
+def test_line_dedup_tries_no_lines_that_share_rare_words_only(spark, monkeypatch):
+    from streamledger.llm import line_dedup
+
+    rng, tried, verified = random.Random(5), [], line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, *rest: tried.append(pairs.count()) or verified(pairs, *rest))
+    rows = [(i, " ".join([f"r{i // 2}", *rng.sample([f"common{k}" for k in range(60)], 10)])) for i in range(80)] + [(90, "r0 again"), (91, "again r0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["doc_id"] for r in counted(docs).collect() if r["n_removed"]] == [91]
+    assert sum(tried) < 5
+
+
+def test_only_what_results_read_stays_staged(spark):
+    from streamledger.llm.common import shared_dir
+    from streamledger.llm.mixing import mixed
+    from streamledger.llm.near_dedup import one_of_each
+
+    folder = Path(shared_dir(spark).removeprefix("file://")) / "staged"
+    docs = spark.createDataFrame([(i, "s", f"line {i // 2} of a text\nand one of its own {i}") for i in range(20)], "doc_id long, source string, text string")
+    for operator, stays in ((without_repeated_lines, {"numbered", "gone"}), (one_of_each, {"numbered", "firsts"}), (mixed, {"numbered", "shares"}), (counted, {"rows", "gone"})):
+        before = {p.name for p in folder.glob("*")}
+        found = operator(docs)
+        assert found.count() == found.count() > 0
+        assert {n.split("-")[0] for n in {p.name for p in folder.glob("*")} - before} == stays
+
+
 def test_line_dedup_of_an_empty_table(spark):
     empty = spark.createDataFrame([], DOCS)
     assert counted(empty).count() == 0 and without_repeated_lines(empty).count() == 0
