@@ -32,6 +32,7 @@ from streamledger.llm.common import (
     mix,
     numbered,
     raw_bytes,
+    scratch,
     shingles,
     spread,
     stage,
@@ -246,5 +247,7 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     """The first row of each component, with the columns of ``docs``: by smallest id, then in the order read."""
     own, kept = fresh(docs, "own_row"), fresh(docs, "kept_row")
     rows = numbered(docs, own)
-    first = _grouped(rows, own, width, percent).where(F.col("row") == F.col("first.row")).select(F.col("row").alias(kept))
+    with scratch(docs.sparkSession):
+        first = _grouped(rows, own, width, percent).where(F.col("row") == F.col("first.row")).select(F.col("row").alias(kept))
+        first = stage(first, "firsts", stays=True)
     return rows.join(first, F.col(own) == F.col(kept), "left_semi").select(*docs.columns)

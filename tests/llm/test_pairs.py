@@ -177,7 +177,8 @@ def test_line_dedup_tries_no_lines_that_share_rare_words_only(spark, monkeypatch
 
     rng, tried, verified = random.Random(5), [], line_dedup._verified
     monkeypatch.setattr(line_dedup, "_verified", lambda pairs, *rest: tried.append(pairs.count()) or verified(pairs, *rest))
-    rows = [(i, " ".join([f"r{i // 2}", *rng.sample([f"common{k}" for k in range(60)], 10)])) for i in range(80)] + [(90, "r0 again"), (91, "again r0")]
+    # two lines each share three rare words, and no common one but by chance
+    rows = [(i, " ".join([*(f"{c}{i // 2}" for c in "abc"), *rng.sample([f"common{k}" for k in range(60)], 8)])) for i in range(80)] + [(90, "one twin"), (91, "twin one")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert [r["doc_id"] for r in counted(docs).collect() if r["n_removed"]] == [91]
     assert sum(tried) < 5
