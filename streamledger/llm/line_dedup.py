@@ -1,6 +1,11 @@
 """Line dedup by an exact set-similarity join, with DataFrame operations only.
 
-Lines are sets of words in lower case. Words are counted over all lines and ordered by
+Copies go first. Hashes of lines that occur more than once, and the places of the first
+of each, are kept as bitmaps of bounded size; a line in the first that is not in the
+second is a copy. The rest holds every first line, and the few copies that the bitmaps
+can't tell from one, which match it as any other set does.
+
+Lines are sets of words in lower case. Words are counted over the rest and ordered by
 rarity, then by hash; a word that only one line holds comes first of all. The counts are
 kept in a table of fixed size at most, as the largest count of each slot: any order gives
 the same result, a rare-first one gives short lists. For two sets with a Jaccard index of
@@ -37,6 +42,8 @@ RARE = 0.25
 DICTIONARY = 8 << 20
 #: Most bits of the bitmap by which a scan passes over lines that are not candidates.
 BITMAP = 1 << 24
+#: Most bits of each of the two bitmaps that tell copies. A full one tells none, and loses nothing.
+COPIES = 1 << 26
 #: Late sets of one early set that are verified together.
 TOGETHER = 1024
 
@@ -58,6 +65,41 @@ def _words() -> Column:
     return F.array_remove(F.array_distinct(F.transform(F.split("line", " ", -1), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
+def _bitmap(rows: DataFrame, of: Column, most: int) -> tuple[DataFrame, int]:
+    """One row ``words``, longs in which two bits of the hash ``of`` of each row are set, and the number of bits."""
+    size = min(most, max(1 << 12, 1 << (16 * rows.count()).bit_length()))
+    bit = F.explode(F.array(of.bitwiseAND(size - 1), F.shiftrightunsigned(of, 32).bitwiseAND(size - 1)))
+    known = rows.select(bit.alias("bit")).select(F.shiftright("bit", 6).alias("slot"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("word"))
+    every = rows.sparkSession.range(size // 64).select(F.col("id").alias("slot"), F.lit(0).cast("long").alias("word"))
+    slots = known.unionByName(every).groupBy("slot").agg(F.bit_or("word").alias("word"))
+    chunk = F.floor(F.col("slot") / max(1, size // 64 // CHUNKS))
+    chunks = slots.groupBy(chunk.alias("chunk")).agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "word"))), lambda x: x["word"]).alias("words"))
+    # one row of bounded size
+    row = chunks.agg(F.sort_array(F.collect_list(F.struct("chunk", "words"))).alias("a")).select(F.flatten("a.words").alias("words"))
+    return stage(row, "bitmap"), size
+
+
+def _holds(words: Column, size: int, of: Column) -> Column:
+    """Whether both bits of ``of`` are set: always for what the bitmap was made of, rarely for others as long as it isn't full."""
+    held = lambda bit: F.getbit(words[F.shiftright(bit, 6).cast("int")], bit.bitwiseAND(63).cast("int")) == 1
+    return held(of.bitwiseAND(size - 1)) & held(F.shiftrightunsigned(of, 32).bitwiseAND(size - 1))
+
+
+def _place(of: str) -> Column:
+    return F.xxhash64(f"{of}row", f"{of}line_no")
+
+
+def _without_copies(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``row, line_no`` of lines whose text an earlier line has, and ``sets`` without them; copies that the bitmaps can't tell are in the latter only."""
+    often = stage(sets.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1"), "often")
+    words, size = _bitmap(often, F.col("k1"), COPIES)
+    repeats = _holds(words.scalar(), size, F.col("k1"))
+    firsts = sets.where(repeats).groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "row", "line_no")).alias("place"))
+    words, size = _bitmap(stage(firsts.select(_at(F.col("place")).alias("at")), "firsts"), _place("at."), COPIES)
+    first = _holds(words.scalar(), size, _place(""))
+    return sets.where(repeats & ~first).select("row", "line_no"), sets.where(~repeats | first)
+
+
 def _rarity(lines: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """How common the words of each slot are: one row ``levels`` and one row ``rare``, both with a value for each slot, and the number of slots.
 
@@ -89,7 +131,7 @@ def _rarity(lines: DataFrame) -> tuple[DataFrame, DataFrame, int]:
 
 
 def _ordered(sets: DataFrame, threshold: float) -> DataFrame:
-    """``row, doc_id, line_no, k1, k2, n, bits, head``: the first words of each set, as longs that sort by rarity, the level above 56 bits of the hash.
+    """``row, doc_id, line_no, n, bits, head``: the first words of each set, as longs that sort by rarity, the level above 56 bits of the hash.
 
     Its rare words come before all others, so where they are enough the others need no look.
     In ``bits`` each word turns one of 64 bits: two sets differ in at least as many words as bits.
@@ -103,7 +145,7 @@ def _ordered(sets: DataFrame, threshold: float) -> DataFrame:
         return F.shiftleft(level.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(w, 8))
 
     # the optimizer makes one projection of each pair, so the tables are no columns of any row
-    kept = ("row", "doc_id", "line_no", "k1", "k2")
+    kept = ("row", "doc_id", "line_no")
     rows = sets.select(*kept, "hashes", rare.scalar().alias("rare"))
     rows = rows.select(*kept, "hashes", F.filter("hashes", lambda w: F.col("rare")[slot(w)]).alias("few"))
     first = _prefix(F.col("n"), F.col("n") * threshold)
@@ -144,28 +186,15 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, least_words: i
 
 
 def _repeated(sets: DataFrame, threshold: float, least_words: int) -> DataFrame:
-    sets = sets.where(F.size("hashes") >= max(1, least_words)).select("row", "doc_id", "line_no", "k1", "k2", "hashes")
-    first = pinned(_ordered(sets, threshold), "prefix", F.filter("head", lambda w: w >= 1 << 56))
-    # a set with a word of its own equals no other; without a word to look up it matches none
-    own = F.element_at("head", 1) < 1 << 56
-    lines = stage(
-        first.where(F.size("prefix") > 0).select(
-            "row", "doc_id", "line_no", "n", own.alias("own"), F.when(~own, F.col("k1")).alias("k1"), F.when(~own, F.col("k2")).alias("k2"),
-            (F.size("head") - F.size("prefix")).alias("skipped"), "prefix", "bits",
-        ),
-        "lines",
+    sets = sets.where(F.size("hashes") >= max(1, least_words))
+    copies, rest = _without_copies(sets)
+    first = pinned(_ordered(rest, threshold), "prefix", F.filter("head", lambda w: w >= 1 << 56))
+    # without a word to look up a set matches none
+    lines = first.where(F.size("prefix") > 0).select(
+        F.struct("doc_id", "row", "line_no").alias("place"), "n", (F.size("head") - F.size("prefix")).alias("skipped"), "prefix", "bits"
     )
-    # one representative for each line's text: the first such line
-    kept = ("n", "skipped", "prefix", "bits")
-    groups = lines.where("not own").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "row", "line_no")).alias("place"), F.count(F.lit(1)).alias("size"), *[F.first(c).alias(c) for c in kept])
-    groups = stage(groups, "groups")
-    single = lines.where("own").select(F.struct("doc_id", "row", "line_no").alias("place"), *kept)
-    reps = groups.select("place", *kept).unionByName(single)
-    later = stage(_later(reps, sets, threshold), "later")
-    # later lines of a group go whatever its first line matches
-    marked = lines.where("not own").select("row", "line_no", "k1", "k2").join(groups.where("size > 1").select("k1", "k2", "place"), ["k1", "k2"])
-    others = marked.where((F.col("row") != F.col("place.row")) | (F.col("line_no") != F.col("place.line_no"))).select("row", "line_no")
-    return others.unionByName(later.select("late.row", "late.line_no"))
+    later = stage(_later(stage(lines, "lines"), sets, threshold), "later")
+    return copies.unionByName(later.select("late.row", "late.line_no"))
 
 
 def _found(entries: Column, of: dict[str, Column], threshold: float) -> Column:
@@ -186,23 +215,22 @@ def _found(entries: Column, of: dict[str, Column], threshold: float) -> Column:
     return F.transform(F.filter(entries, fits), lambda e: e["place"])
 
 
-def _later(reps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """``late(row, line_no)`` of the representatives that match an earlier one."""
+def _later(lines: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """``late(row, line_no)`` of the ``lines`` that match an earlier one."""
     n = F.col("n")
     # as many words as may differ, for the largest set that can match
     most = F.floor((n + F.floor((n + 1e-9) / threshold)) * ((1 - threshold) / (1 + threshold)) + 1e-6).cast("int")
-    probe = reps.select("place", "n", "bits", most.alias("most"), "skipped", F.posexplode("prefix").alias("k", "word"))
     entry = F.struct("n", (F.col("skipped") + F.col("k")).alias("i"), "bits", "most", "place")
-    probe = probe.select("word", entry.alias("e"))
-    # the level of a word's slot bounds how many lines hold it
-    light = F.shiftright("word", 56) < math.floor(3 * math.log2(LIST))
-    lists = probe.where(light).groupBy("word").agg(F.collect_list("e").alias("entries")).where(F.size("entries") > 1)
+    probe = lambda rows: rows.select("place", "n", "bits", most.alias("most"), "skipped", F.posexplode("prefix").alias("k", "word")).select("word", entry.alias("e"))
+    # the level of a word's slot bounds how many lines hold it; the last word is the most common
+    light = lambda word: F.shiftright(word, 56) < math.floor(3 * math.log2(LIST))
+    lists = probe(lines).where(light(F.col("word"))).groupBy("word").agg(F.collect_list("e").alias("entries")).where(F.size("entries") > 1)
     own = lambda e: {k: e[k] for k in ("n", "i", "bits", "most", "place")}
     each = F.transform("entries", lambda e: F.struct(e["place"].alias("place"), _found(F.col("entries"), own(e), threshold).alias("found")))
     found = lists.select(F.explode(F.filter(each, lambda x: F.size(x["found"]) > 0)).alias("x")).select("x.*")
 
     # lists of the others are split by a hash; a set meets one part first, the rest only if nothing in it holds
-    heavy = stage(probe.where(~light), "heavy")
+    heavy = stage(probe(lines.where(~light(F.element_at("prefix", -1)))).where(~light(F.col("word"))), "heavy")
     sizes = heavy.groupBy("word").agg(F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("parts"))
     parted = heavy.join(sizes, "word").groupBy("word", F.pmod(F.xxhash64("e.place"), F.col("parts")).alias("part")).agg(F.collect_list("e").alias("entries"))
     parted = stage(parted, "lists")
@@ -248,18 +276,17 @@ def _listed(found: DataFrame, held: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """``late`` of those ``pairs(late, early)`` of places ``(row, line_no)`` that hold on the full sets."""
-    wanted = stage(pairs.select(F.col("late").alias("node")).unionByName(pairs.select(F.col("early").alias("node"))).distinct(), "wanted")
-    # a bitmap of bounded size, sent to every task, lets most other lines fall out before the join; a full one lets all pass
-    size = min(BITMAP, max(1 << 12, 1 << (16 * wanted.count()).bit_length()))
-    bit = F.pmod(F.xxhash64("node.row", "node.line_no"), F.lit(size)).cast("int")
-    bitmap = wanted.groupBy(F.shiftright(bit, 6).alias("slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63))).alias("set_bits"))
-    likely = sets.withColumn("bit", F.pmod(F.xxhash64("row", "line_no"), F.lit(size)).cast("int")).join(F.broadcast(bitmap), F.shiftright("bit", 6) == F.col("slot"))
-    likely = likely.where(F.call_function("shiftright", F.col("set_bits"), F.col("bit").bitwiseAND(63)).bitwiseAND(1) != 0)
-    full = stage(likely.select(F.struct("row", "line_no").alias("node"), F.col("hashes").alias("words")).join(wanted, "node"), "sets")
+    # bitmaps of bounded size let most other lines fall out before the joins; full ones let all pass
+    seen = {}
+    for side in ("early", "late"):
+        words, size = _bitmap(pairs, _place(f"{side}."), BITMAP)
+        seen[side] = _holds(words.scalar(), size, _place(""))
+    likely = sets.where(seen["early"] | seen["late"]).select(F.struct("row", "line_no").alias("node"), F.col("hashes").alias("words"), *[x.alias(f"as_{side}") for side, x in seen.items()])
+    full = stage(likely, "sets")
     # an early set that many late ones are tried with is read once for every so many of them
     many = pairs.groupBy("early").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("parts"))
-    early = full.select(F.col("node").alias("early"), F.col("words").alias("b")).join(many, "early").select("early", "b", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    late = pairs.join(many, "early").withColumn("part", F.pmod(F.xxhash64("late"), F.col("parts")).cast("int")).drop("parts").join(full.select(F.col("node").alias("late"), F.col("words").alias("a")), "late")
+    early = full.where("as_early").select(F.col("node").alias("early"), F.col("words").alias("b")).join(many, "early").select("early", "b", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    late = pairs.join(many, "early").withColumn("part", F.pmod(F.xxhash64("late"), F.col("parts")).cast("int")).drop("parts").join(full.where("as_late").select(F.col("node").alias("late"), F.col("words").alias("a")), "late")
     common = F.size(F.array_intersect("a", "b"))
     both = late.join(early, ["early", "part"])
     return stage(both.where(common >= (F.size("a") + F.size("b") - common) * threshold - 1e-9).select("late").distinct(), "held")

@@ -184,6 +184,22 @@ def test_line_dedup_tries_no_lines_that_share_rare_words_only(spark, monkeypatch
     assert sum(tried) < 5
 
 
+def test_line_dedup_looks_up_no_words_of_copies(spark, monkeypatch):
+    from streamledger.llm import line_dedup
+
+    looked, later = [], line_dedup._later
+    monkeypatch.setattr(line_dedup, "_later", lambda lines, *rest: looked.append(lines.count()) or later(lines, *rest))
+    # every word stands in one text only, which stands in ten lines
+    docs = spark.createDataFrame([(k, f"alpha{k % 20} beta{k % 20}") for k in range(200)] + [(None, "alpha3 beta3")], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in counted(docs).collect() if r["n_removed"]} == {3, *range(20, 200)}
+    assert looked[0] < 20
+    # full bitmaps tell no copy, and lose none
+    monkeypatch.setattr(line_dedup, "COPIES", 64)
+    monkeypatch.setattr(line_dedup, "_bitmap", lambda rows, of, most, make=line_dedup._bitmap: make(rows, of, min(most, 64)))
+    assert {r["doc_id"] for r in counted(docs).collect() if r["n_removed"]} == {3, *range(20, 200)}
+    assert looked[1] > 20
+
+
 def test_only_what_results_read_stays_staged(spark):
     from streamledger.llm.common import shared_dir
     from streamledger.llm.mixing import mixed
