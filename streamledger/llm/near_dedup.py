@@ -245,9 +245,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The first row of each component, with the columns of ``docs``: by smallest id, then in the order read."""
-    own, kept = fresh(docs, "own_row"), fresh(docs, "kept_row")
+    own, gone = fresh(docs, "own_row"), fresh(docs, "gone_row")
     rows = numbered(docs, own)
     with scratch(docs.sparkSession):
-        first = _grouped(rows, own, width, percent).where(F.col("row") == F.col("first.row")).select(F.col("row").alias(kept))
-        first = stage(first, "firsts", stays=True)
-    return rows.join(first, F.col(own) == F.col(kept), "left_semi").select(*docs.columns)
+        # the rows that have a first one before them: fewer than those that stay, so the join need not shuffle the texts where they are few
+        others = _grouped(rows, own, width, percent).where(F.col("row") != F.col("first.row")).select(F.col("row").alias(gone))
+        others = stage(others, "firsts", stays=True)
+    return rows.join(others, F.col(own) == F.col(gone), "left_anti").select(*docs.columns)

@@ -184,6 +184,17 @@ def test_line_dedup_tries_no_lines_that_share_rare_words_only(spark, monkeypatch
     assert sum(tried) < 5
 
 
+def test_one_of_each_joins_the_rows_that_go(spark, monkeypatch):
+    from streamledger.llm import near_dedup
+
+    staged, stage = {}, near_dedup.stage
+    monkeypatch.setattr(near_dedup, "stage", lambda df, name, **how: staged.setdefault(name, stage(df, name, **how)))
+    texts = [" ".join(f"w{k}x{i}" for i in range(8)) for k in range(12)]
+    docs = spark.createDataFrame([*enumerate(texts), (50, texts[0]), (60, texts[1]), (70, None), (71, "")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in one_of_each(docs).collect()) == [*range(12), 70, 71]
+    assert staged["firsts"].count() == 2
+
+
 def test_line_dedup_looks_up_no_words_of_copies(spark, monkeypatch):
     from streamledger.llm import line_dedup
 
