@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from streamledger.llm.common import stage
+from streamledger.llm.common import fresh, located, stage
 from streamledger.llm.decontaminate import without_leaks
 from streamledger.llm.line_dedup import without_repeated_lines
 from streamledger.llm.mixing import mixed
@@ -24,12 +24,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that match an earlier line go, and documents that were nothing but such lines."""
-    return without_repeated_lines(docs)
+    row = fresh(docs, "row")
+    return without_repeated_lines(located(docs, row), row=row).drop(row)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays."""
-    return one_of_each(docs)
+    row = fresh(docs, "row")
+    return one_of_each(located(docs, row), row=row).drop(row)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +41,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training run: documents in order of their position, once for each pass."""
-    return mixed(docs)
+    row = fresh(docs, "row")
+    return mixed(located(docs, row), row=row).drop(row)
 
 
 STAGES = [

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamledger.llm.common import fresh, lists, mix, pieces, raw_bytes, stage, text_or_empty, word_hashes
+from streamledger.llm.common import fresh, lists, mix, pieces, raw_bytes, sieved, stage, text_or_empty, word_hashes
 
 MASKS = ("1101101011", "1110010111", "1011011101")
 SPAN = 10
@@ -210,4 +210,6 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     own, digest = fresh(docs, "leak_id"), fresh(docs, "leak_digest")
     leaks = overlaps(docs, benchmark).select(F.col("doc_id").alias(own), F.col("digest").alias(digest)).distinct()
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.xxhash64(text_or_empty("text")) == F.col(digest))
-    return docs.join(leaks, same, "left_anti")
+    leaks = stage(leaks, "leaks")
+    alone, likely = sieved(docs, F.xxhash64(F.col("doc_id").cast("long")), leaks, F.xxhash64(own))
+    return alone.union(likely.join(leaks.hint("merge"), same, "left_anti"))

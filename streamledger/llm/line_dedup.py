@@ -28,20 +28,20 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streamledger.llm.common import fresh, numbered, pinned, scratch, stage, text_or_empty
+from streamledger.llm.common import BITMAP, CHUNKS, fresh, numbered, pinned, scratch, sieved, stage, text_or_empty
+from streamledger.llm.common import bitmap as _bitmap
+from streamledger.llm.common import holds as _holds
 
 THRESHOLD = 0.9
 #: Lines with fewer distinct words are left as they are: none but blank ones.
 LEAST_WORDS = 1
-#: The table of counts has two to four slots for each word that more than one line holds, within these bounds; it comes in so many rows.
-LEAST_SLOTS, MOST_SLOTS, CHUNKS = 1 << 16, 1 << 25, 1 << 10
+#: The table of counts has two to four slots for each word that more than one line holds, within these bounds.
+LEAST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 25
 LIST = 256
 #: The share of all words in lines that counts as rare: about two and a half times what the prefixes need.
 RARE = 0.25
 #: Bytes of a dictionary page in the files that keep the lines' words.
 DICTIONARY = 8 << 20
-#: Most bits of the bitmap by which a scan passes over lines that are not candidates.
-BITMAP = 1 << 24
 #: Most bits of each of the two bitmaps that tell copies. A full one tells none, and loses nothing.
 COPIES = 1 << 26
 #: Late sets of one early set that are verified together.
@@ -65,26 +65,6 @@ def _words() -> Column:
     return F.array_remove(F.array_distinct(F.transform(F.split("line", " ", -1), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def _bitmap(rows: DataFrame, of: Column, most: int) -> tuple[DataFrame, int]:
-    """One row ``words``, longs in which two bits of the hash ``of`` of each row are set, and the number of bits."""
-    size = min(most, max(1 << 12, 1 << (16 * rows.count()).bit_length()))
-    bit = F.explode(F.array(of.bitwiseAND(size - 1), F.shiftrightunsigned(of, 32).bitwiseAND(size - 1)))
-    known = rows.select(bit.alias("bit")).select(F.shiftright("bit", 6).alias("slot"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("word"))
-    every = rows.sparkSession.range(size // 64).select(F.col("id").alias("slot"), F.lit(0).cast("long").alias("word"))
-    slots = known.unionByName(every).groupBy("slot").agg(F.bit_or("word").alias("word"))
-    chunk = F.floor(F.col("slot") / max(1, size // 64 // CHUNKS))
-    chunks = slots.groupBy(chunk.alias("chunk")).agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "word"))), lambda x: x["word"]).alias("words"))
-    # one row of bounded size
-    row = chunks.agg(F.sort_array(F.collect_list(F.struct("chunk", "words"))).alias("a")).select(F.flatten("a.words").alias("words"))
-    return stage(row, "bitmap"), size
-
-
-def _holds(words: Column, size: int, of: Column) -> Column:
-    """Whether both bits of ``of`` are set: always for what the bitmap was made of, rarely for others as long as it isn't full."""
-    held = lambda bit: F.getbit(words[F.shiftright(bit, 6).cast("int")], bit.bitwiseAND(63).cast("int")) == 1
-    return held(of.bitwiseAND(size - 1)) & held(F.shiftrightunsigned(of, 32).bitwiseAND(size - 1))
-
-
 def _place(of: str) -> Column:
     return F.xxhash64(f"{of}row", f"{of}line_no")
 
@@ -297,29 +277,32 @@ def counted(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # both sides read the numbers that were written with the lines
     with scratch(docs.sparkSession):
         sets = _sets(docs, LEAST_WORDS)
-        rows = stage(sets.where("line_no = 0").select("row", "doc_id", F.col("n_lines").cast("long").alias("n_lines")), "rows", stays=True)
+        rows = stage(sets.where("line_no = 0").select("row", "doc_id", F.col("n_lines").cast("long").alias("n_lines")), "rows", None, True)
         gone = _repeated(sets, threshold, LEAST_WORDS).groupBy("row").agg(F.sort_array(F.collect_list("line_no")).alias("gone"))
-        gone = stage(gone, "gone", stays=True)
+        gone = stage(gone, "gone", None, True)
     out = rows.join(gone, "row", "left")
     n = F.coalesce(F.size("gone"), F.lit(0))
     return out.select("doc_id", "n_lines", F.greatest(n, F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit("")).alias("removed"))
 
 
-def without_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, row: str | None = None) -> DataFrame:
     """``docs`` with their columns, without the lines that match an earlier one.
 
     A row all of whose non-blank lines are repeats goes; a row that had only blank lines,
     or none, stays as it is. ``n_chars``, where there is such a column, counts what is left.
+    ``row`` is a column that numbers the rows, whenever they are read; without it a numbered copy is written.
     """
     own, of, lines = (fresh(docs, x) for x in ("own_row", "gone_row", "gone_lines"))
-    rows = numbered(docs, own)
+    rows, own = (docs, row) if row else (numbered(docs, own), own)
     with scratch(docs.sparkSession):
         gone = repeated_lines(rows, threshold, row=own).groupBy(F.col("row").alias(of)).agg(F.collect_set("line_no").alias(lines))
-        gone = stage(gone, "gone", stays=True)
-    joined = rows.join(gone, F.col(own) == F.col(of), "left")
+        gone = stage(gone, "gone", None, True)
+    whole, likely = sieved(rows, F.xxhash64(own), gone, F.xxhash64(of))
+    # what goes grows with the corpus, so it is never broadcast, and the plan is the same at every size
+    joined = likely.join(gone.hint("merge"), F.col(own) == F.col(of), "left")
     kept = F.filter(F.split(text_or_empty("text"), "\n", -1), lambda x, k: ~F.array_contains(F.col(lines), k))
     rest = joined.withColumn("text", F.when(F.col(of).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
     rest = rest.where(F.col(of).isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         rest = rest.withColumn("n_chars", F.when(F.col(of).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return rest.select(*docs.columns)
+    return whole.union(rest.select(*rows.columns)).select(*docs.columns)

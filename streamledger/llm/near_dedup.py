@@ -26,14 +26,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streamledger.llm.common import (
+    BITMAP,
+    bitmap,
     connected_components,
     fresh,
+    holds,
     lists,
     mix,
     numbered,
     raw_bytes,
     scratch,
     shingles,
+    sieved,
     spread,
     stage,
     text_or_empty,
@@ -212,8 +216,11 @@ def _grouped(docs: DataFrame, row: str, width: int, percent: int) -> DataFrame:
     members = clusters.join(classes.select("node", "n", F.col("first.row").alias("row")), "node")
     weight = members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_WEIGHT).cast("int").alias("blocks"))
     members = stage(members.join(weight, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "members")
+    # rows that are no candidates fall out before the texts are shuffled, as far as a bitmap of bounded size tells them
+    words, size = bitmap(members, F.xxhash64("row"), BITMAP)
+    likely = source.where(holds(words.scalar(), size, F.xxhash64("row")))
     # candidates grow with the corpus, so they are never broadcast, and the plan is the same at every size
-    sets = source.join(members.hint("merge"), "row").select("cluster", "blocks", "block", "node", "text").mapInArrow(_full_sets(width), _DEALT)
+    sets = likely.join(members.hint("merge"), "row").select("cluster", "blocks", "block", "node", "text").mapInArrow(_full_sets(width), _DEALT)
     dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "members"
     )
@@ -243,12 +250,16 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The first row of each component, with the columns of ``docs``: by smallest id, then in the order read."""
+def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, row: str | None = None) -> DataFrame:
+    """The first row of each component, with the columns of ``docs``: by smallest id, then in the order read.
+
+    ``row`` is a column that numbers the rows, whenever they are read; without it a numbered copy is written.
+    """
     own, gone = fresh(docs, "own_row"), fresh(docs, "gone_row")
-    rows = numbered(docs, own)
+    rows, own = (docs, row) if row else (numbered(docs, own), own)
     with scratch(docs.sparkSession):
-        # the rows that have a first one before them: fewer than those that stay, so the join need not shuffle the texts where they are few
+        # the rows that have a first one before them: fewer than those that stay, so few texts need be shuffled
         others = _grouped(rows, own, width, percent).where(F.col("row") != F.col("first.row")).select(F.col("row").alias(gone))
-        others = stage(others, "firsts", stays=True)
-    return rows.join(others, F.col(own) == F.col(gone), "left_anti").select(*docs.columns)
+        others = stage(others, "firsts", None, True)
+    alone, likely = sieved(rows, F.xxhash64(own), others, F.xxhash64(gone))
+    return alone.union(likely.join(others.hint("merge"), F.col(own) == F.col(gone), "left_anti")).select(*docs.columns)

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -272,3 +273,40 @@ def test_short_benchmark_items_match_whole(spark):
     rows = [(1, "x alpha BETA gamma y"), (2, "alpha beta x gamma"), (3, "alpha beta"), (4, "0 one two three four five six seven eight nine"), (5, "one two three four five six seven eight ten"), (6, "solo words"), (7, "gamma"), (8, None)]
     got = overlaps(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
     assert sorted(((r["doc_id"], r["item_id"], r["matched"], r["first_word"]) for r in got), key=str) == sorted([(1, 1, 3, 1), (4, 2, 9, 1), (6, None, 2, 0)], key=str)
+
+
+def test_pipeline_steps_write_no_copy_of_what_they_read(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+    from streamledger.llm import common
+
+    texts = [f"own words of number {i} " + " ".join(f"w{i}x{k}" for k in range(20)) + ("\nthe line that some of them share" if i % 3 else "") for i in range(24)]
+    rows = [*((i, t, "web") for i, t in enumerate(texts)), (None, None, "web"), (3, texts[3], None), (50, texts[0], "web"), (7, "", "a")]
+    given = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    given.repartition(5).write.parquet(str(tmp_path / "docs"))
+    docs, folder = spark.read.parquet(str(tmp_path / "docs")), Path(common.shared_dir(spark).removeprefix("file://")) / "staged"
+    numbers = [r["n"] for r in common.located(docs, "n").collect()]
+    assert len(set(numbers)) == len(rows)
+    # rows that come twice or were left out are numbered in a copy
+    twice = common.located(docs.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("k")), "n")
+    assert len({r["n"] for r in twice.collect()}) == 2 * len(rows)
+    assert len({r["n"] for r in common.located(given, "n").collect()}) == len(rows)
+    for step, operator in ((corpus_pipeline.line_dedup, without_repeated_lines), (corpus_pipeline.near_dedup, one_of_each)):
+        before = {p.name for p in folder.glob("*")}
+        found = step(spark, docs, "")
+        assert found.schema.names == docs.columns
+        assert "numbered" not in {n.split("-")[0] for n in {p.name for p in folder.glob("*")} - before}
+        assert Counter(map(tuple, found.collect())) == Counter(map(tuple, operator(given.orderBy("doc_id")).collect()))
+    before = {p.name for p in folder.glob("*")}
+    assert corpus_pipeline.mixing(spark, docs, "").count() > 0
+    assert "numbered" not in {n.split("-")[0] for n in {p.name for p in folder.glob("*")} - before}
+
+
+def test_a_full_sieve_loses_nothing(spark, monkeypatch):
+    from streamledger.llm import common
+
+    rows, few = spark.range(500), spark.range(0, 500, 50)
+    for most in (common.BITMAP, 64):
+        monkeypatch.setattr(common, "BITMAP", most)
+        alone, likely = common.sieved(rows, F.xxhash64("id"), few, F.xxhash64("id"))
+        assert alone.count() + likely.count() == 500 and likely.join(few, "id").count() == 10
+        assert alone.count() > (400 if most > 64 else -1)
