@@ -306,12 +306,12 @@ def ddl_epochs(spark, sf_dir):
 
 
 @_query(f"""
-    WITH RECURSIVE {_EVENTS.strip()}, t AS (SELECT record_id // 1000 AS txn_id, record_id, key FROM log WHERE op = 'DELETE'),
+    WITH RECURSIVE {_EVENTS.strip()}, t AS (SELECT record_id // 1000 AS txn_id, record_id, key FROM log),
     w AS (SELECT DISTINCT txn_id, waits_for FROM (SELECT txn_id, lag(txn_id) OVER (PARTITION BY key ORDER BY record_id) AS waits_for FROM t) WHERE waits_for <> txn_id),
     l(txn_id, level) AS (SELECT DISTINCT txn_id, 1 FROM t UNION SELECT w.txn_id, l.level + 1 FROM l JOIN w ON w.waits_for = l.txn_id)
     SELECT txn_id, CAST(max(level) AS INTEGER) AS level FROM l GROUP BY 1""")
 def txn_levels(spark, sf_dir):
-    log = _events(spark, sf_dir).where("op = 'DELETE'").withColumn("txn_id", F.floor(F.col("record_id") / 1000))
+    log = _events(spark, sf_dir).withColumn("txn_id", F.call_function("div", F.col("record_id"), F.lit(1000)))
     touches = cdc.touched(log, F.col("key"))
     return cdc.levels(touches.select("txn_id").distinct(), cdc.dependencies(touches))
 
