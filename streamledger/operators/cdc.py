@@ -92,8 +92,12 @@ def levels(transactions: DataFrame, waits: DataFrame) -> DataFrame:
     own = transactions.select("txn_id", F.lit(None).cast(waits.schema["waits_for"].dataType).alias("waits_for")).distinct()
     rows = kept(own.unionByName(waits.select("txn_id", "waits_for").where("waits_for is not null")))
     count, parts = rows.where("waits_for is null").count(), -(-rows.count() // BLOCK)
-    # ranges keep all rows of a transaction together
-    dealt = kept(rows.repartitionByRange(max(1, parts), "txn_id").withColumn("block", F.spark_partition_id()))
+    # ranges keep all rows of a transaction together; neighbours make a block, however many parts there are
+    dealt = kept(rows.repartitionByRange(max(1, parts), "txn_id").withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    blocks = blocks.select("part", F.call_function("div", F.col("before"), F.lit(BLOCK)).cast("int").alias("block"))
+    dealt = dealt.join(F.broadcast(blocks), "part").drop("part")
     own = dealt.where("waits_for is null").select("txn_id", "block")
     sides = dealt.where("waits_for is not null").join(own.select(F.col("txn_id").alias("waits_for"), F.col("block").alias("of")), "waits_for")
     inner = kept(sides.where("block = of").groupBy("txn_id").agg(F.collect_list("waits_for").alias("waits")))

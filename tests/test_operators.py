@@ -152,6 +152,17 @@ def test_levels_of_long_chains_take_few_rounds(spark, monkeypatch, block):
     assert len(kept) < 30
 
 
+def test_levels_take_no_round_for_each_part(spark, monkeypatch):
+    frame, group = type(spark.range(1)), type(spark.range(1).groupBy("id"))
+    rounds, dealt, each = [], frame.repartitionByRange, group.applyInArrow
+    monkeypatch.setattr(frame, "repartitionByRange", lambda df, n, *by: dealt(df, max(n, 12), *by))
+    monkeypatch.setattr(group, "applyInArrow", lambda of, *how: rounds.append(of) or each(of, *how))
+    waits = spark.createDataFrame([(k, k - 1) for k in range(2, 61)], "txn_id long, waits_for long")
+    assert dict(cdc.levels(spark.createDataFrame([(k,) for k in range(1, 61)], "txn_id long"), waits).collect()) == {k: k for k in range(1, 61)}
+    # all of it fits one block; a block for each part took a round each
+    assert len(rounds) == 1
+
+
 @pytest.mark.parametrize("block", [1 << 18, 1])
 def test_levels_refuse_a_circle_of_waits(spark, monkeypatch, block):
     monkeypatch.setattr(cdc, "BLOCK", block)
