@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streamledger.llm.common import BITMAP, CHUNKS, fresh, numbered, pinned, scratch, sieved, stage, text_or_empty
+from streamledger.llm.common import BITMAP, CHUNKS, fresh, lasting, numbered, pinned, scratch, sieved, stage, text_or_empty
 from streamledger.llm.common import bitmap as _bitmap
 from streamledger.llm.common import holds as _holds
 
@@ -277,9 +277,11 @@ def counted(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # both sides read the numbers that were written with the lines
     with scratch(docs.sparkSession):
         sets = _sets(docs, LEAST_WORDS)
-        rows = stage(sets.where("line_no = 0").select("row", "doc_id", F.col("n_lines").cast("long").alias("n_lines")), "rows", None, True)
+        with lasting():
+            rows = stage(sets.where("line_no = 0").select("row", "doc_id", F.col("n_lines").cast("long").alias("n_lines")), "rows")
         gone = _repeated(sets, threshold, LEAST_WORDS).groupBy("row").agg(F.sort_array(F.collect_list("line_no")).alias("gone"))
-        gone = stage(gone, "gone", None, True)
+        with lasting():
+            gone = stage(gone, "gone")
     out = rows.join(gone, "row", "left")
     n = F.coalesce(F.size("gone"), F.lit(0))
     return out.select("doc_id", "n_lines", F.greatest(n, F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit("")).alias("removed"))
@@ -296,7 +298,8 @@ def without_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, row: s
     rows, own = (docs, row) if row else (numbered(docs, own), own)
     with scratch(docs.sparkSession):
         gone = repeated_lines(rows, threshold, row=own).groupBy(F.col("row").alias(of)).agg(F.collect_set("line_no").alias(lines))
-        gone = stage(gone, "gone", None, True)
+        with lasting():
+            gone = stage(gone, "gone")
     whole, likely = sieved(rows, F.xxhash64(own), gone, F.xxhash64(of))
     # what goes grows with the corpus, so it is never broadcast, and the plan is the same at every size
     joined = likely.join(gone.hint("merge"), F.col(own) == F.col(of), "left")

@@ -31,6 +31,7 @@ from streamledger.llm.common import (
     connected_components,
     fresh,
     holds,
+    lasting,
     lists,
     mix,
     numbered,
@@ -260,6 +261,7 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, row
     with scratch(docs.sparkSession):
         # the rows that have a first one before them: fewer than those that stay, so few texts need be shuffled
         others = _grouped(rows, own, width, percent).where(F.col("row") != F.col("first.row")).select(F.col("row").alias(gone))
-        others = stage(others, "firsts", stays=True)
+        with lasting():
+            others = stage(others, "firsts")
     alone, likely = sieved(rows, F.xxhash64(own), others, F.xxhash64(gone))
     return alone.union(likely.join(others.hint("merge"), F.col(own) == F.col(gone), "left_anti")).select(*docs.columns)
